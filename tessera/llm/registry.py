@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression_quality, perplexity_rules
+from . import compression_quality, mixing, perplexity_rules, simhash_golay
 from ._base import fold, table
 
 
@@ -16,6 +16,15 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "perplexity")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = simhash_golay.near_duplicates(table(spark, sf_dir, "documents"))
+    return r.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = compression_quality.fit(docs, labels.where(fold(F.col("doc_id"), 4) != 2))
@@ -26,6 +35,8 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op3_simhash": op3_simhash,
+        "op8_mixing": op8_mixing,
         "op9_quality_classifier": op9_quality_classifier,
     }
 

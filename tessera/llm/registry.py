@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression_quality, mixing, perplexity_rules, simhash_golay
+from . import compression_quality, mixing, packing, perplexity_rules, simhash_golay, token_store
 from ._base import fold, table
+from ._tokens import tokenizer_path
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +22,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -32,12 +37,20 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_store.new_path(spark)
+    token_store.write(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"))
+    return token_store.read(spark, path, with_ids=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op3_simhash": op3_simhash,
+        "op6_packing": op6_packing,
         "op8_mixing": op8_mixing,
         "op9_quality_classifier": op9_quality_classifier,
+        "op10_token_ids": op10_token_ids,
     }
 
 

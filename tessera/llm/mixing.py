@@ -77,24 +77,44 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0, block: int = 16, blocks_per_source: int = 1000, shard_docs: int = 200, seed: int = 7, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, source, size, source_size, target, taken of every row. A block has `block` words, or fewer where the
+    """doc_id, source, size, tie (hash of the text), source_no, shard, source_size, target, taken of every row. A block has `block` words, or fewer where the
     average source would have under `blocks_per_source` of them."""
-    sized = cut(docs.select(docs[doc_id].alias("doc_id"), docs[source].alias("source"), word_count(docs[text]).alias("size")))
+    sized = cut(docs.select(docs[doc_id].alias("doc_id"), docs[source].alias("source"), word_count(docs[text]).alias("size"), F.xxhash64(docs[text]).alias("tie")))
     targets = source_targets(sized, weights, share, cap).withColumn("_all", F.sum("target").over(Window.partitionBy(F.lit(0)))).withColumn("_n", F.count("*").over(Window.partitionBy(F.lit(0))))
     b = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.col("_all") / (blocks_per_source * F.col("_n"))))).cast("long")
     targets = targets.withColumn("block", b).withColumn("house", F.round(F.col("_all") / F.col("block")).cast("long"))
     shards = F.greatest(F.lit(1), F.least(F.lit(MOST_SHARDS), F.ceil(F.col("source_docs") / shard_docs)))
     sources = cut(apportion(targets, [], "source_no", "target", "house").select("source", "source_no", "source_size", "target", "block", F.col("seats").alias("house"), shards.cast("long").alias("shards")))
-    placed = sized.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.doc_id", "d.source", "d.size", "s.source_no", "s.source_size", "s.target", "s.block", "s.house", F.pmod(seeded(F.col("d.doc_id"), seed), F.col("s.shards")).alias("shard"))
+    placed = sized.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.doc_id", "d.source", "d.size", "d.tie", "s.source_no", "s.source_size", "s.target", "s.block", "s.house", F.pmod(seeded(F.col("d.doc_id"), seed), F.col("s.shards")).alias("shard"))
     each = placed.groupBy("source_no", "shard").agg(F.sum("size").alias("line"), F.max("house").alias("house"), F.max("block").alias("block"))
     quotas = apportion(each.withColumn("_share", F.col("line").cast("double")), ["source_no"], "shard", "_share", "house")
     n = F.ceil(F.col("line") / F.col("block")).cast("long")
     quotas = quotas.withColumn("n", n).withColumn("quota", F.least("seats", (F.lit(cap) * F.col("n")).cast("long"))).select("source_no", "shard", "n", "quota", F.when(F.col("n") > 0, F.pmod(seeded(F.concat_ws(":", "source_no", "shard"), seed), F.col("n"))).otherwise(0).alias("turn"))
-    line = Window.partitionBy("source_no", "shard").orderBy(seeded(F.col("doc_id"), seed + 1), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    line = Window.partitionBy("source_no", "shard").orderBy(seeded(F.col("doc_id"), seed + 1), "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     laid = placed.join(quotas, ["source_no", "shard"]).withColumn("start", F.coalesce(F.sum("size").over(line), F.lit(0)))
     end = F.col("start") + F.col("size")
     own = F.sequence(F.floor(F.col("start") / F.col("block")).cast("long"), F.floor((end - 1) / F.col("block")).cast("long"))
     chosen = F.filter(own, lambda j: (j * STRIDE + F.col("turn")) % F.col("n") < F.col("quota") % F.col("n"))
     extra = F.aggregate(chosen, F.lit(0).cast("long"), lambda acc, j: acc + F.least(end, (j + 1) * F.col("block")) - F.greatest(F.col("start"), j * F.col("block")))
     taken = F.when(F.col("size") > 0, F.floor(F.col("quota") / F.col("n")).cast("long") * F.col("size") + extra).otherwise(0).cast("long")
-    return laid.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+    return laid.select("doc_id", "source", "size", "tie", "source_no", "shard", "source_size", "target", taken.alias("taken"))
+
+
+def draw(docs: DataFrame, seed: int = 7, text: str = "text", source: str = "source", doc_id: str = "doc_id", **settings) -> DataFrame:
+    """The mix in whole documents: each row of docs, all columns, taken / size times on average. Fractions are rounded
+    along each shard's rows in order of size, from a seeded start: what one row loses the next of about its size gains,
+    so that a source's words come near its target. Reruns agree. Rows without words are not taken. Rows that share an
+    id are told apart by source, size and text."""
+    line = Window.partitionBy("source_no", "shard").orderBy("size", seeded(F.col("doc_id"), seed + 2), "doc_id", "tie")
+    share = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0.0)
+    end = F.sum(share).over(line.rowsBetween(Window.unboundedPreceding, 0)) + seeded(F.concat_ws(":", "source_no", "shard"), seed + 3) / float(1 << 60)
+    copies = F.least(F.floor(end) - F.floor(end - share), F.ceil(share)).cast("int")
+    drawn = cut(mix(docs, seed=seed, text=text, source=source, doc_id=doc_id, **settings).select("doc_id", "source", "size", "tie", copies.alias("_copies")))
+    if docs.groupBy(F.col(doc_id)).count().where("count > 1").isEmpty():
+        rows = docs.join(drawn.where("_copies > 0").select(F.col("doc_id").alias("_of"), "_copies"), docs[doc_id].eqNullSafe(F.col("_of")))
+    else:
+        number = lambda *c: F.row_number().over(Window.partitionBy(c[0]).orderBy(*c[1:]))
+        own = docs.withColumns({"_id": docs[doc_id], "_source": docs[source], "_size": word_count(docs[text]), "_tie": F.xxhash64(docs[text])}).withColumn("_number", number("_id", "_source", "_size", "_tie"))
+        drawn = drawn.withColumn("_no", number("doc_id", "source", "size", "tie")).where("_copies > 0").select(F.col("doc_id").alias("_of"), "_no", "_copies")
+        rows = own.join(drawn, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_number") == F.col("_no")))
+    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select(*(docs[c] for c in docs.columns))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression_quality, exact_topk, mixing, packing, perplexity_rules, simhash_golay, token_store
+from . import compression_quality, exact_topk, language_centroids, mixing, packing, perplexity_rules, simhash_golay, token_store, toxicity_kernel
 from ._base import fold, table
 from ._tokens import tokenizer_path
 
@@ -17,11 +17,25 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "perplexity")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_centroids.fit(docs.where(fold(F.col("doc_id"), 4) != 2))
+    r = language_centroids.identify(docs, model)
+    return r.select("doc_id", F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), F.col("nearest").alias("lang_pred"), "score", "rejected")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = simhash_golay.near_duplicates(table(spark, sf_dir, "documents"))
     return r.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity_kernel.fit(docs, labels.where(fold(F.col("doc_id"), 5) != 0))
+    r = toxicity_kernel.score(docs, model)
+    return r.select("doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -50,7 +64,9 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_language_id": op2_language_id,
         "op3_simhash": op3_simhash,
+        "op4_toxicity": op4_toxicity,
         "op5_exact_topk": op5_exact_topk,
         "op6_packing": op6_packing,
         "op8_mixing": op8_mixing,

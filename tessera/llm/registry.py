@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression_quality, exact_topk, language_centroids, mixing, packing, perplexity_rules, simhash_golay, token_store, toxicity_kernel
+from . import backoff_scores, compression_quality, exact_topk, language_centroids, mixing, packing, perplexity_rules, simhash_golay, token_store, toxicity_kernel
 from ._base import fold, table
 from ._tokens import tokenizer_path
 
@@ -44,6 +44,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = backoff_scores.score(table(spark, sf_dir, "documents"))
+    return r.select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"), "n_backed_off")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -69,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": op4_toxicity,
         "op5_exact_topk": op5_exact_topk,
         "op6_packing": op6_packing,
+        "op7_lm_scoring": op7_lm_scoring,
         "op8_mixing": op8_mixing,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_token_ids": op10_token_ids,
@@ -85,6 +91,25 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
 """
 
+#: Order 2, ALPHA 0.4, each text's own n-grams left out.
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS l FROM documents),
+w AS (SELECT doc_id, unnest(l) AS w, unnest(range(len(l))) AS i FROM d),
+p AS (SELECT doc_id, w, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS v FROM w),
+n AS (SELECT doc_id, v, w,
+             count(*) OVER (PARTITION BY v, w) - count(*) OVER (PARTITION BY doc_id, v, w) AS c2,
+             count(*) OVER (PARTITION BY w) - count(*) OVER (PARTITION BY doc_id, w) AS c1,
+             count(*) OVER () - count(*) OVER (PARTITION BY doc_id) AS t FROM p),
+c AS (SELECT w, count(*) AS c FROM w GROUP BY w), o AS (SELECT doc_id, w, count(*) AS c FROM w GROUP BY doc_id, w),
+s AS (SELECT n.doc_id,
+             CASE WHEN v IS NOT NULL AND c2 > 0 THEN ln(c2 / (c.c - o.c))
+                  ELSE CASE WHEN v IS NULL THEN 0 ELSE ln(0.4) END + CASE WHEN c1 > 0 THEN ln(c1 / t) ELSE ln(0.4) - ln(greatest(t, 1)) END END AS s,
+             CASE WHEN (v IS NOT NULL AND c2 = 0) OR (v IS NULL AND c1 = 0) THEN 1 ELSE 0 END AS b
+      FROM n LEFT JOIN c ON c.w = n.v LEFT JOIN o ON o.w = n.v AND o.doc_id = n.doc_id)
+SELECT d.doc_id, CAST(len(l) AS BIGINT) AS n_words, round(coalesce(x.s, 0), 3) AS log_score, CAST(coalesce(x.b, 0) AS BIGINT) AS n_backed_off
+FROM d LEFT JOIN (SELECT doc_id, sum(s) AS s, sum(b) AS b FROM s GROUP BY doc_id) x ON x.doc_id = d.doc_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_topk": OP5_SQL}
+    return {"op5_exact_topk": OP5_SQL, "op7_lm_scoring": OP7_SQL}

@@ -75,7 +75,7 @@ def filter_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch],
     return df.mapInArrow(run, df.schema)
 
 
-def slices(batch: pa.RecordBatch, most: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """A batch in row ranges of about `most` bytes, so that Python objects of one range at a time are alive."""
     rows = batch.num_rows
     step = max(1, int(rows * most / max(batch.nbytes, 1)))

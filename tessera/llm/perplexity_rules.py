@@ -34,7 +34,7 @@ SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
 MAX_ORDER = 7
 #: Distinct words that a task holds before it passes on what it has counted or forgets its scores.
-MOST_WORDS = 400_000
+MOST_WORDS = 200_000
 
 
 def base_statistics(text: str | None, words: list[bytes] | None = None, ids: np.ndarray | None = None) -> tuple[int, int, int, int, int]:
@@ -240,7 +240,8 @@ class _Cache(dict):
 
     def update_scores(self, model: LanguageModel) -> None:
         if self.fresh:
-            self.scores = np.concatenate([self.scores, model.word_scores(self.fresh)])
+            parts = [model.word_scores(self.fresh[a : a + 20_000]) for a in range(0, len(self.fresh), 20_000)]
+            self.scores = np.concatenate([self.scores, *parts])
             self.fresh = []
 
 

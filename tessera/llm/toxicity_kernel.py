@@ -310,8 +310,8 @@ class Scorer:
             self.known = _Known()
         known = self.known
         seen = [np.fromiter(map(known.__getitem__, u), np.int32, len(u)) for u in map(units_of, texts)]
-        for a in range(0, len(known.fresh), 50_000):
-            part = [bare(u) for u in known.fresh[a : a + 50_000]]
+        for a in range(0, len(known.fresh), 20_000):
+            part = [bare(u) for u in known.fresh[a : a + 20_000]]
             names = list(set(part))
             of = dict(zip(names, self.model.unit_scores(names).tolist(), strict=True))
             known.scores = np.concatenate([known.scores, [of[u] for u in part]])

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -211,6 +212,20 @@ def _bits(unit: str) -> set[str]:
     return {u[k : k + 5] for k in range(max(1, len(u) - 4))} | {u[:k] for k in range(6, min(len(u), 12) + 1)}
 
 
+def _gram_counts(units: list[str], whole: dict[int, list[np.ndarray]], least: int = 5) -> dict[int, Counter]:
+    """Texts of either label that have each gram, for grams that `least` toxic texts have. Hashed counts come first, so
+    that the many rare grams are never held."""
+    rough = np.zeros(1 << 22, np.int32)
+    for ids in whole[1]:
+        rough[list({zlib.crc32(g.encode()) & 0x3FFFFF for k in ids for g in _bits(units[k])})] += 1
+    out: dict[int, Counter] = {0: Counter(), 1: Counter()}
+    for y in (1, 0):
+        for ids in whole[y]:
+            grams = {g for k in ids for g in _bits(units[k])}
+            out[y].update(g for g in grams if (g in out[1] if y == 0 else rough[zlib.crc32(g.encode()) & 0x3FFFFF] >= least))
+    return out
+
+
 def _disguised(unit: str) -> list[str]:
     """A unit with gaps and with an inserted character, to train on."""
     half = len(unit) // 2
@@ -219,26 +234,32 @@ def _disguised(unit: str) -> list[str]:
 
 def fit_rows(rows: list[tuple[str, int]], landmarks: int = 256, negatives: int = 12_000, rounds: int = 3, disguises: int = 60) -> ToxicityModel | None:
     """From (text, label) rows."""
-    bags = {y: [[sorted({bare(u)[:LONGEST] for u in units_of(s)}) for s in _SENTENCE.split(t)] for t, label in rows if label == y and t] for y in (0, 1)}
-    bags = {y: [[s for s in b if s] for b in v if any(b)] for y, v in bags.items()}
+    number: dict[str, int] = {}
+    bags: dict[int, list[list[np.ndarray]]] = {0: [], 1: []}
+    for t, y in rows:
+        sentences = [{bare(u)[:LONGEST] for u in units_of(x)} for x in _SENTENCE.split(t or "")]
+        bag = [np.array(sorted(number.setdefault(u, len(number)) for u in x), np.int32) for x in sentences if x]
+        if bag:
+            bags[y].append(bag)
     if not bags[0] or not bags[1]:
         return None
-    odds: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    for y, v in bags.items():
-        for bag in v:
-            odds[y].update(set().union(*(_bits(u) for s in bag for u in s)))
+    units = list(number)
+    whole = {y: [np.unique(np.concatenate(bag)) for bag in v] for y, v in bags.items()}
+    odds = _gram_counts(units, whole)
     n = {y: len(v) for y, v in bags.items()}
+    low, high = (lambda k: max(k - 2 * math.sqrt(k), 0.01)), (lambda k: k + 2 * math.sqrt(k) + 2)
 
     def first(u: str) -> float:
         """The largest log odds of the unit's 5-grams, from two deviations below the toxic and above the other count."""
-        low, high = (lambda k: max(k - 2 * math.sqrt(k), 0.01)), (lambda k: k + 2 * math.sqrt(k) + 2)
-        return max(math.log(low(odds[1][g]) / n[1]) - math.log(high(odds[0][g]) / n[0]) for g in _bits(u))
+        return max((math.log(low(odds[1][g]) / n[1]) - math.log(high(odds[0][g]) / n[0]) for g in _bits(u) if g in odds[1]), default=-9.0)
 
-    clean = Counter(u for bag in bags[0] for s in bag for u in s)
-    scores = {u: first(u) for u in {u for bag in bags[1] for s in bag for u in s}}
+    times = {y: np.bincount(np.concatenate([s for bag in v for s in bag]), minlength=len(units)) for y, v in bags.items()}
+    clean = Counter({units[k]: int(times[0][k]) for k in np.flatnonzero(times[0])})
+    toxic = {units[k]: int(times[1][k]) for k in np.flatnonzero(times[1])}
+    sure = {u: k for u, k in toxic.items() if first(u) >= math.log(12.0)}
     model = None
     for _ in range(rounds):  # the witnesses stay; a round adds the clean units that the last machine found most toxic
-        witnesses = Counter(u for bag in bags[1] for s in bag for u in s if scores[u] >= math.log(12.0))
+        witnesses = Counter(sure)
         for u in [u for u in witnesses if clean[u] > 2 * witnesses[u]]:
             del witnesses[u]
         for u, k in sorted(witnesses.items(), key=lambda x: (-x[1], x[0]))[:disguises]:
@@ -247,8 +268,11 @@ def fit_rows(rows: list[tuple[str, int]], landmarks: int = 256, negatives: int =
                     witnesses[v] += max(1, k // 4)
         if not witnesses:
             return None
-        names = list(clean) if model is None else [u for _, u in sorted(zip(-model.unit_scores(list(clean)), clean, strict=True))]
-        hard = names[: negatives // 2] if model is not None else []
+        hard = []
+        if model is not None:
+            names = list(clean)
+            scored = np.concatenate([model.unit_scores(names[a : a + 20_000]) for a in range(0, len(names), 20_000)])
+            hard = [names[k] for k in np.argsort(-scored, kind="stable")[: negatives // 2]]
         usual = [u for u, _ in sorted(clean.items(), key=lambda x: (-x[1], x[0]))[: negatives // 4]]
         rest = sorted(clean, key=lambda u: hash_of(u))[: negatives // 4 if model is not None else negatives]
         bad = list(dict.fromkeys([*hard, *usual, *rest]))
@@ -270,10 +294,10 @@ def fit_rows(rows: list[tuple[str, int]], landmarks: int = 256, negatives: int =
             np.add.at(table, codes, weight * of_mark[owner])
         model = ToxicityModel(table, float(w[-1]), (1.0, 0.0, 0.0), marks)
     tops, labels = [], []
-    for y, v in bags.items():
-        for bag in v:
-            tops.append(list(two_best(model.unit_scores(sorted({u for s in bag for u in s})))))
-            labels.append(y)
+    scores = np.concatenate([model.unit_scores(units[a : a + 20_000]) for a in range(0, len(units), 20_000)])
+    for y, v in whole.items():
+        tops += [list(two_best(scores[ids])) for ids in v]
+        labels += [y] * len(v)
     model.weights = tuple(float(v) for v in logistic(tops, labels, ridge=1e-4))
     return model
 

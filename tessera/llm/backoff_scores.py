@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -41,8 +42,19 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 COUNTED, SCORED = 1, 2
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers as zstandard-compressed byte planes; sorted ones are best given as differences."""
+    planes = np.ascontiguousarray(numbers).view(np.uint8).reshape(len(numbers), -1).T.tobytes() if len(numbers) else b""
+    return zstandard.ZstdCompressor(level=1).compress(planes)
+
+
+def unpacked(raw: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
+
+
 def _blocks(docs: DataFrame, role: int, text: str, doc_id: str) -> DataFrame:
-    """block, role, n_words, doc_ids, lengths (int32), vocabulary (hashes), words (numbers in it; binary columns)."""
+    """block, role, n_words, doc_ids, lengths (int32), vocabulary (hashes), words (numbers in it, packed); binary columns."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -54,7 +66,7 @@ def _blocks(docs: DataFrame, role: int, text: str, doc_id: str) -> DataFrame:
         def flush():
             nonlocal seq, keys, lengths, numbers, known, total
             hashes = np.array([xxhash.xxh64_intdigest(w) for w in known], np.uint64)
-            row = {"block": (role << 56) | (task << 24) | seq, "role": role, "n_words": total, "doc_ids": keys, "lengths": np.array(lengths, np.int32).tobytes(), "vocabulary": hashes.tobytes(), "words": (np.concatenate(numbers) if numbers else np.zeros(0, np.uint32)).tobytes()}
+            row = {"block": (role << 56) | (task << 24) | seq, "role": role, "n_words": total, "doc_ids": keys, "lengths": np.array(lengths, np.int32).tobytes(), "vocabulary": hashes.tobytes(), "words": packed(np.concatenate(numbers) if numbers else np.zeros(0, np.uint32))}
             seq, keys, lengths, numbers, known, total = seq + 1, [], [], [], {}, 0
             return row
 
@@ -86,10 +98,10 @@ class Block:
 
     def __init__(self, lengths: bytes, vocabulary: bytes, words: bytes, order: int):
         self.lengths = np.frombuffer(lengths, np.int32).astype(np.int64)
-        hashes = np.frombuffer(vocabulary, np.uint64)[np.frombuffer(words, np.uint32)]
+        hashes = np.frombuffer(vocabulary, np.uint64)[unpacked(words, np.uint32)]
         n = len(hashes)
-        self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
-        self.place = np.arange(n) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
+        self.doc = np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths)
+        self.place = (np.arange(n) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)).astype(np.int32)
         self.grams, self.counts, self.of = {}, {}, {}
         now = hashes
         for k in range(1, order + 1):
@@ -102,14 +114,14 @@ class Block:
                 now = now ^ (now >> np.uint64(31))
             ok = self.place >= k - 1
             self.grams[k], inverse, self.counts[k] = np.unique(now[ok], return_inverse=True, return_counts=True)
-            self.of[k] = np.full(n, -1)
+            self.of[k] = np.full(n, -1, np.int32)
             self.of[k][ok] = inverse
 
     def own(self, k: int) -> np.ndarray:
         """How often each word's n-gram of order k is in its text."""
         out = np.zeros(len(self.doc), np.int64)
         ok = self.of[k] >= 0
-        key = self.doc[ok] * (len(self.grams[k]) + 1) + self.of[k][ok]
+        key = self.doc[ok].astype(np.int64) * (len(self.grams[k]) + 1) + self.of[k][ok]
         _, inverse, times = np.unique(key, return_inverse=True, return_counts=True)
         out[ok] = times[inverse]
         return out
@@ -140,6 +152,7 @@ class Block:
 def score(docs: DataFrame, reference: DataFrame | None = None, order: int = 2, alpha: float = ALPHA, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_words, log_score (sum of natural logs), n_backed_off of every row of docs, against the counts of
     reference, or of docs itself without what each row counts by itself."""
+    leave_out = reference is None
     spark, path = docs.sparkSession, f"{shared_dir(docs.sparkSession)}/blocks-{uuid.uuid4().hex}"
     kind = docs.schema[doc_id].dataType.simpleString()
     made = _blocks(docs, SCORED | (COUNTED if reference is None else 0), text, doc_id)
@@ -159,7 +172,7 @@ def score(docs: DataFrame, reference: DataFrame | None = None, order: int = 2, a
                     edges = np.searchsorted((grams >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1))
                     counts = b.counts[k].astype(np.uint32) if role & COUNTED else np.zeros(len(grams), np.uint32)
                     parts = [(x, a, z) for x, (a, z) in enumerate(zip(edges, edges[1:], strict=False)) if z > a]
-                    yield pa.RecordBatch.from_arrays([pa.array([x for x, _, _ in parts], pa.int32()), pa.array([block] * len(parts), pa.int64()), pa.array([role] * len(parts), pa.int32()), pa.array([k] * len(parts), pa.int32()), pa.array([grams[a:z].tobytes() for _, a, z in parts], pa.binary()), pa.array([counts[a:z].tobytes() for _, a, z in parts], pa.binary())], names=["bucket", "block", "role", "n", "grams", "counts"])
+                    yield pa.RecordBatch.from_arrays([pa.array([x for x, _, _ in parts], pa.int32()), pa.array([block] * len(parts), pa.int64()), pa.array([role] * len(parts), pa.int32()), pa.array([k] * len(parts), pa.int32()), pa.array([packed(np.diff(grams[a:z], prepend=np.uint64(0))) for _, a, z in parts], pa.binary()), pa.array([packed(counts[a:z]) for _, a, z in parts], pa.binary())], names=["bucket", "block", "role", "n", "grams", "counts"])
 
     def add_up(rows: pa.Table) -> pa.Table:
         out: list[list] = [[], [], [], []]
@@ -167,13 +180,13 @@ def score(docs: DataFrame, reference: DataFrame | None = None, order: int = 2, a
             mine = [r for r in rows.filter(pa.compute.equal(rows.column("n"), k)).to_pylist()]
             if not mine:
                 continue
-            grams = [np.frombuffer(r["grams"], np.uint64) for r in mine]
+            grams = [np.cumsum(unpacked(r["grams"], np.uint64), dtype=np.uint64) for r in mine]
             _, inverse = np.unique(np.concatenate(grams), return_inverse=True)
-            total = np.bincount(inverse, np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in mine])).astype(np.int64)
+            total = np.bincount(inverse, np.concatenate([unpacked(r["counts"], np.uint32) for r in mine])).astype(np.int64)
             at = 0
             for r, g in zip(mine, grams, strict=True):
                 if r["role"] & SCORED:
-                    for column, x in zip(out, (r["block"], k, r["bucket"], total[inverse[at : at + len(g)]].tobytes()), strict=True):
+                    for column, x in zip(out, (r["block"], k, r["bucket"], packed(total[inverse[at : at + len(g)]])), strict=True):
                         column.append(x)
                 at += len(g)
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["block", "n", "bucket", "totals"])
@@ -185,8 +198,8 @@ def score(docs: DataFrame, reference: DataFrame | None = None, order: int = 2, a
             b, totals = Block(row["lengths"], row["vocabulary"], row["words"], order), {}
             answers = sorted(right.to_pylist(), key=lambda r: (r["n"], r["bucket"]))
             for k in range(1, order + 1):
-                totals[k] = np.frombuffer(b"".join(r["totals"] for r in answers if r["n"] == k), np.int64)
-            log, backed = b.scores(totals, words, reference is None, alpha)
+                totals[k] = np.concatenate([np.zeros(0, np.int64), *(unpacked(r["totals"], np.int64) for r in answers if r["n"] == k)])
+            log, backed = b.scores(totals, words, leave_out, alpha)
             out = [row["doc_ids"], b.lengths, log, backed]
         types = left.schema.field("doc_ids").type.value_type, pa.int64(), pa.float64(), pa.int64()
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=["doc_id", "n_words", "log_score", "n_backed_off"])

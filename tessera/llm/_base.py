@@ -92,7 +92,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     """At most per_class (text, label) of each class 0 and 1, the ids with the smallest hashes, texts of at most max_bytes.
 
     The ids are picked from the narrow labels table (a top-k, no shuffle of texts) and reach the text scan as a
-    broadcast of at most 2 * per_class rows. Rows with a null id or label are no candidates.
+    broadcast of at most 2 * per_class rows. Of rows that share an id the smallest text counts, so a repeated id can't
+    widen the sample. Rows with a null id or label are no candidates.
     """
     ids = labels.select(F.col(doc_id).alias("i"), F.col(label).alias("y")).where("i is not null and y in (0, 1)").distinct()
     picked = None
@@ -103,7 +104,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t"))
         .where(F.col("t").isNotNull() & (F.octet_length("t") <= max_bytes))
         .join(F.broadcast(picked), "i")
-        .select("i", "t", "y")
+        .groupBy("i", "y")
+        .agg(F.min("t").alias("t"))
         .collect()
     )
     return [(r.t, int(r.y)) for r in sorted(rows, key=lambda r: (r.i, r.t, r.y))]

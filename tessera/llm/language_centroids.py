@@ -115,7 +115,7 @@ def sample(docs: DataFrame, per_lang: int, text: str, lang: str, doc_id: str, ma
     for key, n in sorted(counts.items()):
         chance = (F if chance is None else chance).when(F.col("l") == key, float(min(1.0, 2 * per_lang / n)))
     u = F.pmod(F.xxhash64("i", "t"), F.lit(1 << 30)) / float(1 << 30)
-    rows = ok.where((u < chance.otherwise(0.0)) & (F.octet_length("t") <= max_bytes)).select(u.alias("u"), "t", "l").collect()
+    rows = ok.where((u < chance.otherwise(0.0)) & (F.octet_length("t") <= max_bytes)).select(u.alias("u"), "t", "l").distinct().collect()
     taken: dict[str, int] = {}
     out = []
     for r in sorted(rows, key=lambda r: (r.u, r.t, r.l)):

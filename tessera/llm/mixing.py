@@ -109,12 +109,13 @@ def draw(docs: DataFrame, seed: int = 7, text: str = "text", source: str = "sour
     share = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0.0)
     end = F.sum(share).over(line.rowsBetween(Window.unboundedPreceding, 0)) + seeded(F.concat_ws(":", "source_no", "shard"), seed + 3) / float(1 << 60)
     copies = F.least(F.floor(end) - F.floor(end - share), F.ceil(share)).cast("int")
-    drawn = cut(mix(docs, seed=seed, text=text, source=source, doc_id=doc_id, **settings).select("doc_id", "source", "size", "tie", copies.alias("_copies")))
-    if docs.groupBy(F.col(doc_id)).count().where("count > 1").isEmpty():
-        rows = docs.join(drawn.where("_copies > 0").select(F.col("doc_id").alias("_of"), "_copies"), docs[doc_id].eqNullSafe(F.col("_of")))
+    drawn = cut(mix(docs, seed=seed, text=text, source=source, doc_id=doc_id, **settings).select("doc_id", "source", "size", "tie", copies.alias("copies")))
+    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[doc_id].alias("id"), docs[source].alias("of"), word_count(docs[text]).alias("words"), F.xxhash64(docs[text]).alias("hash"))
+    if docs.groupBy(docs[doc_id]).count().where("count > 1").isEmpty():
+        rows = whole.join(drawn.where("copies > 0").select("doc_id", "copies"), F.col("id").eqNullSafe(F.col("doc_id")))
     else:
         number = lambda *c: F.row_number().over(Window.partitionBy(c[0]).orderBy(*c[1:]))
-        own = docs.withColumns({"_id": docs[doc_id], "_source": docs[source], "_size": word_count(docs[text]), "_tie": F.xxhash64(docs[text])}).withColumn("_number", number("_id", "_source", "_size", "_tie"))
-        drawn = drawn.withColumn("_no", number("doc_id", "source", "size", "tie")).where("_copies > 0").select(F.col("doc_id").alias("_of"), "_no", "_copies")
-        rows = own.join(drawn, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_number") == F.col("_no")))
-    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select(*(docs[c] for c in docs.columns))
+        own = whole.withColumn("number", number("id", "of", "words", "hash"))
+        drawn = drawn.withColumn("no", number("doc_id", "source", "size", "tie")).where("copies > 0").select("doc_id", "no", "copies")
+        rows = own.join(drawn, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("number") == F.col("no")))
+    return rows.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("row.*")

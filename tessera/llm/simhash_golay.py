@@ -172,8 +172,8 @@ def keep_one(docs: DataFrame, width: int = 3, text: str = "text", doc_id: str =
     names them. Of several rows with the kept id, one stays."""
     fps = cut(fingerprints(docs, width, text, doc_id))
     near = fps.join(classes(fps), "fp", "left")
-    first = near.where("doc_id = component").groupBy("doc_id").agg(F.count("*").alias("_rows_of_id"))
-    kept = docs.join(first.select(F.col("doc_id").alias("_kept_id")), F.col(doc_id) == F.col("_kept_id"), "left_semi")
-    if not first.where("_rows_of_id > 1").isEmpty():
+    first = cut(near.where("doc_id = component").groupBy("doc_id").agg(F.count("*").alias("rows")))
+    kept = docs.join(first, docs[doc_id] == first["doc_id"], "left_semi")
+    if not first.where("rows > 1").isEmpty():
         kept = kept.dropDuplicates([doc_id])
-    return kept.unionByName(docs.where(F.col(doc_id).isNull()))
+    return kept.unionByName(docs.where(docs[doc_id].isNull()))

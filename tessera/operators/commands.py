@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..shipping import ship
+
 APPLIED, DUPLICATE, STALE, GAP = "applied", "duplicate", "stale", "gap"
 KINDS = ("noop", "prewrite", "commit", "rollback", "single_shard_commit", "resolve_intent", "catalog")
 
@@ -43,6 +45,7 @@ def classify(commands: DataFrame, client: str = "client", sequence: str = "seque
                 last = s if out[-1] == APPLIED else last
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, "verdict"])
 
+    ship(commands.sparkSession)
     return commands.repartition(client).sortWithinPartitions(client, arrival).mapInArrow(run, schema)
 
 

@@ -33,10 +33,11 @@ class Result:
     details: dict[str, Any] = field(default_factory=dict)
     frame: DataFrame | None = None
     columns: list[tuple[str, str, bool]] = field(default_factory=list)  # name, type, nullable
+    found: list[tuple] | None = None  # rows, where the row limit made the session read them
 
     def rows(self) -> list[tuple]:
-        if self.frame is None:
-            return []
+        if self.found is not None or self.frame is None:
+            return self.found or []
         try:
             return [tuple(r) for r in self.frame.collect()]
         except PySparkException as e:
@@ -162,8 +163,13 @@ class Session:
     def _select(self, s: binder.BoundSelect, txn: Transaction) -> Result:
         rows = compiler.restrict(compiler.ordered(self.visible(s.table, txn), s.table), s.table, s.where)
         frame = rows.select(*(F.col(f"`{c.name}`") for c in s.columns))
-        self._bounded(frame)
-        return Result("query", {}, frame, [(c.name, c.type, c.nullable) for c in s.columns])
+        columns = [(c.name, c.type, c.nullable) for c in s.columns]
+        if self.most_rows is None:
+            return Result("query", {}, frame, columns)
+        found = [tuple(r) for r in frame.limit(self.most_rows + 1).collect()]
+        if len(found) > self.most_rows:
+            raise InvalidArgument(f"a statement may return or match {self.most_rows} rows at most")
+        return Result("query", {}, frame, columns, found)
 
     def _buffer(self, table: Table, new: DataFrame, txn: Transaction, operation: str) -> Result:
         """Makes a statement's stored writes part of the transaction: all or nothing."""

@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators.commands import APPLIED, DUPLICATE, GAP, STALE
+from ..shipping import ship
 
 
 def classify(stream: DataFrame, client: str = "client", sequence: str = "sequence", arrival: str = "arrival") -> DataFrame:
@@ -29,6 +30,7 @@ def classify(stream: DataFrame, client: str = "client", sequence: str = "sequenc
         state.update((last,))
         yield rows.assign(verdict=verdicts)
 
+    ship(stream.sparkSession)
     out = StructType([*stream.schema.fields, StructField("verdict", StringType())])
     return stream.groupBy(client).applyInPandasWithState(fold, out, "last long", "append", "NoTimeout")
 

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..shipping import ship
+
 #: A word is a run of anything but these six ASCII white-space characters; bytes.split() cuts at exactly them.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -48,6 +50,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | None]], ddl: str) -> DataFrame:
     """make() runs once a task and gives a function from a batch to columns (name -> list or array) of the result."""
+    ship(df.sparkSession)
     schema = StructType.fromDDL(ddl)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,6 +68,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dic
 
 def filter_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list[bool]]]) -> DataFrame:
     """The rows of df, all columns, for which the function that make() gives says True."""
+    ship(df.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = make()

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ._base import shared_dir, slices
+from ._base import shared_dir, ship, slices
 
 ALPHA = 0.4
 BLOCK = 1_500_000
@@ -153,6 +153,7 @@ def score(docs: DataFrame, reference: DataFrame | None = None, order: int = 2, a
     """doc_id, n_words, log_score (sum of natural logs), n_backed_off of every row of docs, against the counts of
     reference, or of docs itself without what each row counts by itself."""
     leave_out = reference is None
+    ship(docs.sparkSession)
     spark, path = docs.sparkSession, f"{shared_dir(docs.sparkSession)}/blocks-{uuid.uuid4().hex}"
     kind = docs.schema[doc_id].dataType.simpleString()
     made = _blocks(docs, SCORED | (COUNTED if reference is None else 0), text, doc_id)

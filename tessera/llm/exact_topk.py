@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._base import cut
+from ._base import cut, ship
 
 
 def quantised(vectors: DataFrame, scale: int, vec_id: str, vector: str) -> DataFrame:
@@ -101,6 +101,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, bl
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in out], names=["query_id", "vec_id", "score"])
 
+    ship(vectors.sparkSession)
     best = dealt.mapInArrow(run, "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import cut, filter_batches, map_batches
+from ._base import cut, filter_batches, map_batches, ship
 
 _SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = b"#*$%&|<>"
@@ -119,6 +119,7 @@ def count_ngrams(docs: DataFrame, order: int, text: str = "text", lang: str = "l
                         yield from flush()
         yield from flush()
 
+    ship(docs.sparkSession)
     each = docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).mapInArrow(run, "lang string, n int, gram long, c long")
     return each.groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
 
@@ -288,7 +289,7 @@ def statistics(docs: DataFrame, models: dict[str, LanguageModel], text: str = "t
     return map_batches(docs.select(docs[doc_id].alias("i"), docs[text].alias("t"), docs[lang].alias("l")), make, f"doc_id {kind}, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double, n_bytes long")
 
 
-def bands(scored: DataFrame, lower: float = 12.0, upper: float = 24.0) -> dict[str, tuple[float, float, float, float]]:
+def bands(scored: DataFrame, lower: float = 12.0, upper: float = 40.0) -> dict[str, tuple[float, float, float, float]]:
     """language -> (median, spread * lower, spread * upper, median bytes): a row a language reaches the driver."""
     q = lambda c: F.percentile_approx(c, [0.25, 0.5, 0.75], 2000)
     rows = scored.where("log_perplexity is not null").groupBy(F.coalesce("lang", F.lit("")).alias("l")).agg(q("log_perplexity").alias("p"), F.percentile_approx("n_bytes", 0.5).alias("b")).collect()
@@ -306,7 +307,7 @@ def base_failed(n_words: int, n_repeat_words: int) -> bool:
     return n_words < 20 or 100 * n_repeat_words > 30 * n_words
 
 
-def judge(docs: DataFrame, order: int = 4, lower: float = 12.0, upper: float = 24.0, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
+def judge(docs: DataFrame, order: int = 4, lower: float = 12.0, upper: float = 40.0, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
     """The statistics of every row with base_failed, perplexity and kept."""
     scored = cut(statistics(docs, fit(docs, order, text=text, lang=lang), text, lang, doc_id))
     found = bands(scored, lower, upper)
@@ -322,7 +323,7 @@ def judge(docs: DataFrame, order: int = 4, lower: float = 12.0, upper: float = 2
     return scored.withColumns({"base_failed": failed, "kept": ~failed & low, "perplexity": F.exp("log_perplexity")})
 
 
-def keep(docs: DataFrame, order: int = 4, lower: float = 12.0, upper: float = 24.0, text: str = "text", lang: str = "lang") -> DataFrame:
+def keep(docs: DataFrame, order: int = 4, lower: float = 12.0, upper: float = 40.0, text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of docs, all columns, that pass the base rules and their language's band. Scores are computed again in
     the filter instead of being joined by id: rows may share an id, and texts need no shuffle."""
     spark = docs.sparkSession

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import map_batches, shared_dir, slices
+from ._base import map_batches, shared_dir, ship, slices
 from ._tokens import encoder
 
 MAGIC = b"TSG1"
@@ -113,6 +113,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, dict_byte
     raw = train(docs, tokenizer, end_id, width, dict_bytes, "text", "doc_id")
     hash_ = dictionary_hash(raw)
     spark.createDataFrame([(raw, f"{hash_:016x}", width, end_id)], "dictionary binary, hash string, id_bytes int, end_id long").coalesce(1).write.parquet(f"{path}/dictionary")
+    ship(spark)
     tool, end = spark.sparkContext.broadcast(raw), np.array([end_id], "<u4").tobytes()
 
     def run(batches) -> Iterator[pa.RecordBatch]:

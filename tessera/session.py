@@ -54,6 +54,7 @@ class Result:
 class Transaction:
     id: int
     start_ts: int
+    began: int  # commits that it reads
     pending: dict[int, DataFrame] = field(default_factory=dict)
     writes: dict[int, int] = field(default_factory=dict)
 
@@ -142,14 +143,14 @@ class Session:
         if not wrote:
             return Result("transaction_committed", {"transaction_id": txn.id, "commit_timestamp": None, "committed_writes": 0})
         table = self.store.catalog.by_id(wrote[0])
-        commit_ts, rows = self.store.commit(table, txn.pending[table.id], txn.start_ts, txn.id)
+        commit_ts, rows = self.store.commit(table, txn.pending[table.id], txn.start_ts, txn.id, txn.began)
         return Result("transaction_committed", {"transaction_id": txn.id, "commit_timestamp": commit_ts, "committed_writes": rows})
 
     # data statements
 
     def visible(self, table: Table, txn: Transaction) -> DataFrame:
         """The table as the transaction sees it."""
-        rows = self.store.snapshot(table, txn.start_ts)
+        rows = self.store.snapshot(table, until=txn.began)
         pending = txn.pending.get(table.id)
         return rows if pending is None else versions.overlay(rows, pending, list(table.primary_key))
 

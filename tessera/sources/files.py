@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -29,25 +32,27 @@ class Files:
             stream.close()
 
     def create(self, name: str, text: str) -> bool:
-        """Writes a new file whole; False if the name is taken. The name is claimed first, so two writers never both win."""
-        at = self._at(name)
+        """Writes a new file whole; False if the name is taken. The text goes to a file of its own first and takes the
+        name in one step that fails if there is one: a hard link on a local disk, elsewhere a rename, which HDFS refuses
+        onto an existing file. Object stores without such a rename need another commit service."""
+        at, part = self._at(name), self._at(f"{name}.{uuid.uuid4().hex}.part")
         self.fs.mkdirs(at.getParent())
-        claim = self._at(f"{name}.claim")
-        try:
-            self.fs.create(claim, False).close()
-        except Exception as e:  # Hadoop's FileAlreadyExistsException by way of py4j
-            if "AlreadyExists" in str(e) or "already exists" in str(e):
-                return False
-            raise
-        part = self._at(f"{name}.part")
-        stream = self.fs.create(part, True)
+        stream = self.fs.create(part, False)
         try:
             stream.write(bytearray(text.encode("utf-8")))
-            if hasattr(stream, "hsync"):
-                stream.hsync()
+            stream.hsync()
         finally:
             stream.close()
-        return bool(self.fs.rename(part, at))
+        try:
+            if self.fs.getUri().getScheme() == "file":
+                try:
+                    os.link(part.toUri().getPath(), at.toUri().getPath())
+                except FileExistsError:
+                    return False
+                return True
+            return not self.fs.exists(at) and bool(self.fs.rename(part, at))
+        finally:
+            self.fs.delete(part, False)
 
     def delete(self, name: str) -> None:
         self.fs.delete(self._at(name), True)

@@ -2,13 +2,14 @@
 
     catalog/{n}.json            table definitions, one a file, never changed
     t{table}/log/{token}/       Parquet: a commit's versions
-    commits/{commit_ts}.json    the marker, created exclusively; it names the log folder, the transaction and its rows
-    t{table}/ckpt/{ts}/         Parquet: the rows visible at ts
-    ckpts/{ts}.json             the checkpoint's marker: tables, row counts, what to replay from, allocator floors
+    commits/{n}.json            the marker of the n-th commit; it names the log folder, the transaction and its rows
+    t{table}/ckpt/{ts}/         Parquet: the rows visible after the first n commits
+    ckpts/{ts}.json             the checkpoint's marker: n, tables with row counts and checksums, allocator floors
 
 Data is written first and its marker last, so a commit is there exactly when its marker is; folders without a marker
-are leftovers of commits that did not happen. Readers list markers and read only what they name: a snapshot reads the
-newest checkpoint at or before its timestamp and the logs after it.
+are leftovers of commits that did not happen. Markers are numbered without gaps and created exclusively, so a commit has
+seen every one before it, whichever process wrote it, and timestamps rise with the numbers. A transaction reads the
+commits up to the number that it began at: the newest checkpoint within them and the logs after it.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import Catalog
-from ..errors import CatalogOutcomeUnknown, CommitNotStaged, CommitOutcomeUnknown, CorruptData, InvalidArgument, RecoveryRequired
+from ..errors import CatalogOutcomeUnknown, CommitNotStaged, CommitOutcomeUnknown, CorruptData, InvalidArgument, RecoveryRequired, WriteConflict
 from ..operators import recovery, versions
 from ..types import Table
 from .files import Files
@@ -29,6 +30,7 @@ from .files import Files
 
 @dataclass(frozen=True)
 class Marker:
+    n: int
     commit_ts: int
     start_ts: int
     txn_id: int
@@ -47,7 +49,7 @@ class Store:
         self.catalog = Catalog()
         self.poisoned: Exception | None = None
         self.last_ts = self.last_txn = 0
-        self._markers: dict[int, Marker] = {}
+        self._markers: list[Marker] = []
         self.recover()
 
     # recovery
@@ -59,7 +61,7 @@ class Store:
                 self.catalog.install(Table.from_json(self.files.read(f"catalog/{name}")))
         self.refresh()
         seen: dict[int, int] = {}
-        for m in self._markers.values():
+        for m in self._markers:
             table = self.catalog.by_id(m.table_id)
             if table is None or table.version != m.schema_version:
                 raise CorruptData(f"commit {m.commit_ts} is of an unknown table or schema version")
@@ -74,13 +76,12 @@ class Store:
 
     def refresh(self) -> None:
         """Markers that appeared since the last look."""
-        for name in self.files.names("commits"):
-            if name.endswith(".json") and int(name[:-5]) not in self._markers:
-                m = Marker(**json.loads(self.files.read(f"commits/{name}")))
-                if m.commit_ts != int(name[:-5]):
-                    raise CorruptData(f"marker {name} holds another commit")
-                self._markers[m.commit_ts] = m
-                self.last_ts, self.last_txn = max(self.last_ts, m.commit_ts, m.start_ts), max(self.last_txn, m.txn_id)
+        while self.files.exists(name := f"commits/{len(self._markers) + 1:020d}.json"):
+            m = Marker(**json.loads(self.files.read(name)))
+            if m.n != len(self._markers) + 1 or (self._markers and m.commit_ts <= self._markers[-1].commit_ts):
+                raise CorruptData(f"marker {name} is out of order")
+            self._markers.append(m)
+            self.last_ts, self.last_txn = max(self.last_ts, m.commit_ts, m.start_ts), max(self.last_txn, m.txn_id)
 
     # catalog
 
@@ -100,32 +101,34 @@ class Store:
 
     # reads
 
-    def log(self, table: Table, after: int = 0, until: int | None = None) -> DataFrame:
-        """Versions committed after `after` and up to `until`."""
-        folders = [f"{self.root}/{m.folder}" for m in self.markers() if m.table_id == table.id and m.commit_ts > after and (until is None or m.commit_ts <= until)]
+    def log(self, table: Table, after: int = 0, until: int | None = None, read_ts: int | None = None) -> DataFrame:
+        """Versions of the commits numbered after `after` and up to `until`, and up to the timestamp read_ts."""
+        found = self._markers[after:until]
+        folders = [f"{self.root}/{m.folder}" for m in found if m.table_id == table.id and (read_ts is None or m.commit_ts <= read_ts)]
         if not folders:
             return self.spark.createDataFrame([], table.log_schema)
         return self.spark.read.schema(table.log_schema).parquet(*folders)
 
     def markers(self) -> list[Marker]:
-        return [self._markers[k] for k in sorted(self._markers)]
+        return list(self._markers)
 
     def checkpoints(self) -> list[dict]:
         out = [json.loads(self.files.read(f"ckpts/{n}")) for n in self.files.names("ckpts") if n.endswith(".json")]
         return sorted(out, key=lambda c: c["ts"])
 
-    def snapshot(self, table: Table, read_ts: int | None = None) -> DataFrame:
-        """The table's rows at read_ts (now, without one)."""
-        until = self.last_ts if read_ts is None else read_ts
-        base = next((c for c in reversed(self.checkpoints()) if c["ts"] <= until and str(table.id) in c["tables"]), None)
+    def snapshot(self, table: Table, read_ts: int | None = None, until: int | None = None) -> DataFrame:
+        """The table's rows after the first `until` commits (all known, without it), as of read_ts."""
+        until = len(self._markers) if until is None else until
+        fits = lambda c: c["n"] <= until and (read_ts is None or c["ts"] <= read_ts) and str(table.id) in c["tables"]
+        base = next((c for c in reversed(self.checkpoints()) if fits(c)), None)
         key = list(table.primary_key)
-        log = self.log(table, base["ts"] if base else 0, until)
+        log = self.log(table, base["n"] if base else 0, until, read_ts)
         names = [f"`{n}`" for n in table.names]
         if base is None:
             return versions.snapshot(log, key).select(*names)
         rows = self.spark.read.schema(table.log_schema).parquet(f"{self.root}/t{table.id}/ckpt/{base['ts']:020d}").select(*names)
-        newer = any(m.table_id == table.id and base["ts"] < m.commit_ts <= until for m in self.markers())
-        return recovery.replay(rows, base["ts"], log, key).select(*names) if newer else rows
+        newer = any(m.table_id == table.id for m in self._markers[base["n"] : until])
+        return recovery.replay(rows, 0, log, key).select(*names) if newer else rows
 
     # commits
 
@@ -133,39 +136,46 @@ class Store:
         if self.poisoned is not None:
             raise RecoveryRequired("an earlier failure left an unknown outcome; reopen the store") from self.poisoned
 
-    def begin(self) -> tuple[int, int]:
-        """(transaction id, start timestamp), both new."""
+    def begin(self) -> tuple[int, int, int]:
+        """(transaction id, start timestamp, commits to read): the first two are new here."""
         self.check()
+        self.refresh()
         self.last_txn, self.last_ts = self.last_txn + 1, self.last_ts + 1
-        return self.last_txn, self.last_ts
+        return self.last_txn, self.last_ts, len(self._markers)
 
-    def commit(self, table: Table, pending: DataFrame, start_ts: int, txn_id: int) -> tuple[int, int]:
-        """(commit timestamp, writes). Conflicts leave nothing behind; another writer's marker at the same timestamp
-        means another try after its commit was checked against."""
+    def commit(self, table: Table, pending: DataFrame, start_ts: int, txn_id: int, began: int) -> tuple[int, int]:
+        """(commit timestamp, writes) of a transaction that began after the first `began` commits. Conflicts leave
+        nothing behind; where another process takes the next number first, its commit is checked against as well."""
         self.check()
         key = list(table.primary_key)
         while True:
             self.refresh()
-            versions.preflight(pending, self.log(table, start_ts), None, key, start_ts, txn_id)
-            commit_ts = max(self.last_ts, start_ts) + 1
+            newer = self._markers[began:]
+            if any(m.table_id == table.id for m in newer):
+                log = self.log(table, began).where("__op <> 'R'").select(*(f"`{k}`" for k in key))
+                if not pending.join(log, key, "left_semi").isEmpty():
+                    raise WriteConflict("a key was written after this transaction began")
+            if any(m.txn_id == txn_id for m in newer):  # another process gave out the same id
+                self.last_txn += 1
+                txn_id = self.last_txn
+            commit_ts, n = max(self.last_ts, start_ts) + 1, len(self._markers) + 1
             folder = f"t{table.id}/log/{commit_ts:020d}-{uuid.uuid4().hex}"
             try:
                 versions.stamped(pending, start_ts, commit_ts, txn_id).select(*(f"`{c}`" for c in table.log_schema.names)).write.parquet(f"{self.root}/{folder}")
                 rows = self.spark.read.schema(table.log_schema).parquet(f"{self.root}/{folder}").count()
             except Exception as e:
                 raise CommitNotStaged("the commit's data could not be written") from e
-            m = Marker(commit_ts, start_ts, txn_id, table.id, table.version, rows, folder)
+            m = Marker(n, commit_ts, start_ts, txn_id, table.id, table.version, rows, folder)
             try:
-                won = self.files.create(f"commits/{commit_ts:020d}.json", m.to_json())
+                won = self.files.create(f"commits/{n:020d}.json", m.to_json())
             except Exception as e:
                 self.poisoned = e
                 raise CommitOutcomeUnknown("commit outcome is unknown; reopen the store before trying again") from e
             if won:
-                self._markers[commit_ts] = m
+                self._markers.append(m)
                 self.last_ts = commit_ts
                 return commit_ts, rows
             self.files.delete(folder)
-            self.last_ts = commit_ts
 
     # checkpoints
 
@@ -174,17 +184,32 @@ class Store:
         self.check()
         self.refresh()
         self.last_ts += 1
-        ts, counts = self.last_ts, {}
+        ts, n, tables = self.last_ts, len(self._markers), {}
         for table in self.catalog.tables():
             path = f"{self.root}/t{table.id}/ckpt/{ts:020d}"
             keys = [f"`{k}`" for k in table.primary_key]
-            self.snapshot(table, ts).repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
-            counts[str(table.id)] = self.spark.read.schema(table.log_schema).parquet(path).count()
-        marker = {"ts": ts, "tables": counts, "max_ts": ts, "max_txn_id": self.last_txn, "next_table_id": self.catalog.next_id}
+            self.snapshot(table, until=n).repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
+            tables[str(table.id)] = self._digest(table, path)
+        marker = {"ts": ts, "n": n, "tables": tables, "max_ts": ts, "max_txn_id": self.last_txn, "next_table_id": self.catalog.next_id}
         if not self.files.create(f"ckpts/{ts:020d}.json", json.dumps(marker)):
             raise InvalidArgument("a checkpoint with this timestamp exists")
         return ts
 
+    def _digest(self, table: Table, path: str) -> list[int]:
+        """Rows of a checkpoint and an order-free checksum of their values."""
+        rows = self.spark.read.schema(table.log_schema).parquet(path)
+        return list(rows.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64(*(f"`{n}`" for n in table.names))), F.lit(0))).first())
+
+    def verify_checkpoint(self, ts: int) -> None:
+        """Raises where a checkpoint's rows are not what its marker says."""
+        c = next((c for c in self.checkpoints() if c["ts"] == ts), None)
+        if c is None:
+            raise InvalidArgument("no such checkpoint")
+        for id_, digest in c["tables"].items():
+            table = self.catalog.by_id(int(id_))
+            if table is None or self._digest(table, f"{self.root}/t{id_}/ckpt/{ts:020d}") != digest:
+                raise CorruptData(f"checkpoint {ts} of table {id_} is damaged")
+
     def verify(self, table: Table) -> dict[str, int]:
         """Numbers of faults in a table's log: broken timestamps, keys with NULL, NOT NULL columns of puts with NULL,
         commits whose rows are not as many as the marker says."""

@@ -130,6 +130,10 @@ def test_reopening_recovers_everything(users, spark):
     assert rows(Session(again), "SELECT id, score FROM users") == [(1, 99), (3, 30)]
     table = again.catalog.by_name("users")
     assert sorted(again.snapshot(table, ts).select("id").collect()) == [(1,), (2,), (3,)]
+    again.verify_checkpoint(ts)
+    again.snapshot(table, ts).limit(2).write.mode("append").parquet(f"{again.root}/t1/ckpt/{ts:020d}")
+    with pytest.raises(E.CorruptData):
+        again.verify_checkpoint(ts)
     assert set(again.verify(table).values()) == {0}
     listing, ok = inspect(again.files)
     assert ok and [r["record"] for r in listing] == ["commit"] * 3 + ["checkpoint"]
@@ -147,18 +151,25 @@ def test_data_without_a_marker_is_no_commit(users, spark):
     assert rows(Session(Store(spark, store.root)), "SELECT id FROM users WHERE id = 50") == []
 
 
-def test_two_stores_on_one_folder_retry_on_the_same_timestamp(users, spark):
+def test_two_processes_on_one_folder_serialise(users, spark):
     a, b = Session(users.store), Session(Store(spark, users.store.root))
-    a.sql("INSERT INTO users (id, name) VALUES (60, 'a')")
+    b.sql("BEGIN")
     b.sql("INSERT INTO users (id, name) VALUES (61, 'b')")
+    a.sql("INSERT INTO users (id, name) VALUES (60, 'a')")
+    assert rows(b, "SELECT id FROM users WHERE id >= 60") == [(61,)]
+    b.sql("COMMIT")
+    b.sql("BEGIN")
+    b.sql("UPDATE users SET score = 1 WHERE id = 60")
+    a.sql("UPDATE users SET score = 2 WHERE id = 60")
+    with pytest.raises(E.WriteConflict):
+        b.sql("COMMIT")
     assert rows(Session(Store(spark, users.store.root)), "SELECT id FROM users WHERE id >= 60") == [(60,), (61,)]
 
 
 def test_corrupt_log_is_refused(users, spark):
     store = users.store
-    name = store.files.names("commits")[-1] if store.files.names("commits")[-1].endswith(".json") else store.files.names("commits")[-2]
-    text = store.files.read(f"commits/{name}")
-    store.files.create("commits/00000000000000000999.json", text)
+    name = store.files.names("commits")[-1]
+    assert store.files.create("commits/00000000000000000002.json", store.files.read(f"commits/{name}"))
     with pytest.raises(E.CorruptData):
         Store(spark, store.root)
 

@@ -110,6 +110,41 @@ SELECT d.doc_id, CAST(len(l) AS BIGINT) AS n_words, round(coalesce(x.s, 0), 3) A
 FROM d LEFT JOIN (SELECT doc_id, sum(s) AS s, sum(b) AS b FROM s GROUP BY doc_id) x ON x.doc_id = d.doc_id
 """
 
+#: The mix with its production parameters: weights 5, 2, 1, share 1.5, cap 2, blocks of 16, shards of 200, seed 7.
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS source_docs FROM d GROUP BY source),
+s1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS source_no FROM s0),
+s2 AS (SELECT *, CAST([5, 2, 1][CAST((source_no - 1) % 3 + 1 AS INTEGER)] AS DOUBLE) AS w, CAST(2 * source_size AS DOUBLE) AS cap FROM s1),
+s3 AS (SELECT *, (CAST(1.5 AS DOUBLE) * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, source_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                 / sum(w) OVER (ORDER BY cap / w, source_no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s2),
+s4 AS (SELECT *, least(cap, w * max(level) OVER ()) AS target FROM s3),
+s5 AS (SELECT *, sum(target) OVER () AS t, count(*) OVER () AS s FROM s4),
+s6 AS (SELECT *, CAST(greatest(1, least(16, floor(t / (1000 * s)))) AS BIGINT) AS block FROM s5),
+s7 AS (SELECT *, CAST(round(t / block) AS BIGINT) AS house FROM s6),
+s8 AS (SELECT *, CASE WHEN t > 0 AND house > s / 2 THEN CAST(floor(target * (house - s / 2) / t + 0.5) AS BIGINT) ELSE 0 END AS base FROM s7),
+s9 AS (SELECT *, house - sum(base) OVER () AS rest, unnest(range(CASE WHEN t > 0 THEN CAST(floor(target * s / t) AS BIGINT) + 2 ELSE 1 END)) AS j FROM s8),
+s10 AS (SELECT *, target / (2 * (base + j) + 1) AS q FROM s9),
+s11 AS (SELECT *, row_number() OVER (ORDER BY q DESC, source_no, j) <= rest AND q > 0 AS won FROM s10),
+src AS (SELECT source, source_no, source_size, target, block, max(base) + count(*) FILTER (won) AS house, CAST(greatest(1, least(4096, ceil(source_docs / 200))) AS BIGINT) AS shards
+        FROM s11 GROUP BY source, source_no, source_size, source_docs, target, block),
+p AS (SELECT d.doc_id, d.size, src.* EXCLUDE (source), CAST('0x' || substr(md5(coalesce(CAST(d.doc_id AS VARCHAR), 'null') || ':7'), 1, 15) AS BIGINT) % shards AS shard,
+             CAST('0x' || substr(md5(coalesce(CAST(d.doc_id AS VARCHAR), 'null') || ':8'), 1, 15) AS BIGINT) AS turn_of FROM d JOIN src ON d.source IS NOT DISTINCT FROM src.source),
+e AS (SELECT source_no, shard, CAST(sum(size) AS BIGINT) AS line, max(house) AS house, max(block) AS block FROM p GROUP BY source_no, shard),
+e1 AS (SELECT *, CAST(sum(line) OVER (PARTITION BY source_no) AS DOUBLE) AS t, count(*) OVER (PARTITION BY source_no) AS s FROM e),
+e2 AS (SELECT *, CASE WHEN t > 0 AND house > s / 2 THEN CAST(floor(CAST(line AS DOUBLE) * (house - s / 2) / t + 0.5) AS BIGINT) ELSE 0 END AS base FROM e1),
+e3 AS (SELECT *, house - sum(base) OVER (PARTITION BY source_no) AS rest, unnest(range(CASE WHEN t > 0 THEN CAST(floor(CAST(line AS DOUBLE) * s / t) AS BIGINT) + 2 ELSE 1 END)) AS j FROM e2),
+e4 AS (SELECT *, CAST(line AS DOUBLE) / (2 * (base + j) + 1) AS q FROM e3),
+e5 AS (SELECT *, row_number() OVER (PARTITION BY source_no ORDER BY q DESC, shard, j) <= rest AND q > 0 AS won FROM e4),
+e6 AS (SELECT source_no, shard, CAST(ceil(line / block) AS BIGINT) AS n, max(base) + count(*) FILTER (won) AS seats FROM e5 GROUP BY source_no, shard, line, block),
+e7 AS (SELECT source_no, shard, n, least(seats, 2 * n) AS quota, CASE WHEN n > 0 THEN CAST('0x' || substr(md5(source_no || ':' || shard || ':7'), 1, 15) AS BIGINT) % n ELSE 0 END AS turn FROM e6),
+l AS (SELECT p.*, n, quota, turn, CAST(coalesce(sum(size) OVER (PARTITION BY source_no, shard ORDER BY turn_of, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS a FROM p JOIN e7 USING (source_no, shard))
+SELECT doc_id, size, source_size, target,
+       CASE WHEN size = 0 THEN 0 ELSE CAST(quota // n * size + coalesce(list_sum(list_transform(list_filter(range(a // block, (a + size - 1) // block + 1), lambda j: (j * 2147483629 + turn) % n < quota % n),
+            lambda j: least(a + size, (j + 1) * block) - greatest(a, j * block))), 0) AS BIGINT) END AS taken
+FROM l
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_topk": OP5_SQL, "op7_lm_scoring": OP7_SQL}
+    return {"op5_exact_topk": OP5_SQL, "op7_lm_scoring": OP7_SQL, "op8_mixing": OP8_SQL}

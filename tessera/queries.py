@@ -356,7 +356,7 @@ def _(spark, d):
     return c.select("c_custkey", F.concat(keys.encode(F.col("c_custkey"), "INT"), keys.encode(F.col("c_mktsegment"), "TEXT"), keys.encode(F.col("c_custkey") % 2 == 0, "BOOL")).alias("key_hex"))
 
 
-@_operator("session_end_to_end", "SELECT n_nationkey AS id, CASE WHEN n_regionkey = 2 THEN n_regionkey + 100 ELSE n_regionkey END AS region, n_name AS name FROM nation WHERE n_regionkey <> 3 UNION ALL VALUES (1000, 9, 'Atlantis')")
+@_operator("session_end_to_end", "SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(CASE WHEN n_regionkey = 2 THEN n_regionkey + 100 ELSE n_regionkey END AS BIGINT) AS region, n_name AS name FROM nation WHERE n_regionkey <> 3 UNION ALL VALUES (1000, 9, 'Atlantis')")
 def _(spark, d):
     from .session import Session, shared_folder
     from .sources.store import Store

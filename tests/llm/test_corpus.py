@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tessera.llm import _tokens, backoff_scores, components, exact_topk, mixing, packing, registry, simhash_golay, token_store
+from tessera.llm import _tokens, backoff_scores, components, exact_topk, mixing, packing, registry, similar_texts, simhash_golay, token_store
 from tests.llm.conftest import words
 
 SF = "/root/testdata/sf0.01"
@@ -122,6 +122,67 @@ def test_near_duplicates_of_odd_rows(odd_docs):
     assert simhash_golay.near_duplicates(odd_docs.limit(0)).count() == 0 and simhash_golay.keep_one(odd_docs.limit(0)).count() == 0
 
 
+def plain_similar(texts, least=0.8, width=5):
+    """Classes of {id: text} by the shingles' Jaccard similarity; pairs that share a shingle are looked at."""
+    sets, by = {}, {}
+    for i, t in texts.items():
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), t or "").encode().split()
+        sets[i] = {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else {()}
+        for s in sets[i]:
+            by.setdefault(s, []).append(i)
+    parent = {i: i for i in texts}
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for i in sorted(texts):
+        for j in {j for s in sets[i] for j in by[s] if j < i}:
+            if find(i) != find(j) and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+                p, q = sorted((find(i), find(j)))
+                parent[q] = p
+    return {i: find(i) for i in texts}
+
+
+def test_similar_texts_of_every_document(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = plain_similar({r.doc_id: r.text for r in docs.collect()})
+    got = {r.doc_id: r.component for r in similar_texts.classes(docs).collect()}
+    assert sum(got[i] != want[i] for i in want) <= 0.01 * sum(want[i] != i for i in want)
+
+
+def edited(text, rng, n):
+    w = text.split()
+    for k in rng.sample(range(len(w)), n):
+        w[k] = "".join(rng.choice("klmnop") for _ in range(6))
+    return " ".join(w)
+
+
+def test_large_groups_of_near_copies_collapse_without_all_pairs(make_docs):
+    rng = random.Random(6)
+    base = words(300, 50)
+    texts = [base, *(edited(base, rng, rng.randrange(0, 6)) for _ in range(250)), *(words(200, 100 + k) for k in range(40))]
+    docs = make_docs(list(enumerate(texts)))
+    got = {r.doc_id: r.component for r in similar_texts.classes(docs).collect()}
+    want = plain_similar(dict(enumerate(texts)))
+    assert len(set(want.values())) == 41 and got == want
+    nodes = similar_texts.sketches(docs, "text", "doc_id").select(F.col("doc_id").alias("node"), "low", "high")
+    assert similar_texts.candidates(nodes, 0).count() <= 251 * 2 * similar_texts.FIRST * 36
+
+
+def test_similar_texts_of_odd_rows(odd_docs):
+    rows = similar_texts.classes(odd_docs).collect()
+    of = {}
+    for r in rows:
+        of.setdefault(r.doc_id, set()).add(r.component)
+    assert len(rows) == odd_docs.count() and of[1] == of[2] == of[3] == {1} and of[6] == of[7] == {6}
+    kept = similar_texts.keep_one(odd_docs)
+    ids = [r.doc_id for r in kept.collect()]
+    assert kept.columns == odd_docs.columns and sorted(i for i in ids if i is not None) == [1, 4, 5, 6, 8, 9, 10, 11] and ids.count(None) == 2
+    assert similar_texts.classes(odd_docs.limit(0)).count() == 0
+
+
 def oracle(name):
     con = duckdb.connect()
     for t in ("documents", "embeddings"):
@@ -372,8 +433,7 @@ def test_pipeline_stages(spark):
     good = [i for i, q in labels.items() if q]
     assert len([i for i in good if i in set(kept[names[0]])]) > 0.95 * len(good)
     before = {r.doc_id: r.text for r in first.collect() if r.doc_id in set(kept[names[1]])}
-    want = plain_classes({i: plain_fingerprint(t, 5) for i, t in before.items()})
-    assert kept[names[2]] == sorted(set(want.values()))
+    assert kept[names[2]] == sorted(set(plain_similar(before).values()))
     assert len(kept[names[2]]) == len(set(kept[names[2]]))
     out = corpus_pipeline.run(spark, SF)
     assert out.agg(F.sum("length")).first()[0] > 0 and out.count() >= len(kept[names[3]])

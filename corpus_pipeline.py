@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import compression_quality, mixing, packing, perplexity_rules, simhash_golay
+from tessera.llm import compression_quality, mixing, packing, perplexity_rules, similar_texts
 from tessera.llm._base import shared_dir, table
 from tessera.llm._tokens import tokenizer_path
 
@@ -28,8 +28,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the smallest id. Shingles are five words."""
-    return simhash_golay.keep_one(docs, width=5)
+    """One document of each group of near-duplicates stays, the one with the smallest id: SimHash and Golay fuzzy keys
+    find candidates, which are near-duplicates where four fifths of their five-word shingles are the same."""
+    return similar_texts.keep_one(docs, least=0.8, width=5)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,12 +15,6 @@ def inserted(rows: DataFrame, table: Table) -> DataFrame:
     return rows.select(*(F.col(f"`{c.name}`").cast(SPARK[c.type]).alias(c.name) for c in table.columns), F.lit("P").alias("__op"))
 
 
-def missing_values(rows: DataFrame, table: Table) -> DataFrame:
-    """Rows with NULL where the table has none."""
-    required = [F.col(f"`{c.name}`").isNull() for c in table.columns if not c.nullable]
-    return rows.where(F.greatest(F.lit(False), *required)) if required else rows.limit(0)
-
-
 def existing_keys(rows: DataFrame, visible: DataFrame, table: Table) -> DataFrame:
     """Rows whose key is visible already."""
     key = list(table.primary_key)

@@ -41,6 +41,20 @@ def out_of_schema(log: DataFrame, known_tables: DataFrame) -> DataFrame:
     return log.select("table_id", "schema_version").distinct().join(known_tables, ["table_id", "schema_version"], "left_anti")
 
 
+def faulty_commits(log: DataFrame, key: list[str]) -> DataFrame:
+    """Commit records that recovery refuses, with the reason: several tables, a key twice, or commit_ts not after a
+    positive start_ts. log: table_id, key, __txn_id, __start_ts, __commit_ts."""
+    keys = F.struct(F.col("table_id"), *(F.col(f"`{k}`") for k in key))
+    c = log.groupBy("__txn_id").agg(F.count_distinct("table_id").alias("tables"), F.count("*").alias("n"), F.count_distinct(keys).alias("keys"), F.min(F.col("__commit_ts") - F.col("__start_ts")).alias("gap"), F.min("__start_ts").alias("start"))
+    reason = F.when(F.col("tables") > 1, "tables").when(F.col("n") > F.col("keys"), "keys").when((F.col("gap") <= 0) | (F.col("start") <= 0), "timestamps")
+    return c.select("__txn_id", reason.alias("reason")).where("reason is not null")
+
+
+def shared_suffix(log: DataFrame, floor: int) -> tuple[DataFrame, DataFrame]:
+    """One log of two owners: (database records at or above the checkpoint's floor, all replica records)."""
+    return log.where((F.col("owner") == "database") & (F.col("lsn") >= floor)), log.where(F.col("owner") == "replica")
+
+
 def floors(log: DataFrame) -> DataFrame:
     """One row: the next free transaction id and timestamp after everything in the log."""
     at = F.greatest("__start_ts", "__commit_ts")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ConstraintViolation, CorruptData, WriteConflict
+from ..types import Table
 
 META = ["__op", "__start_ts", "__commit_ts", "__txn_id"]
 
@@ -175,6 +176,12 @@ def malformed(versions: DataFrame) -> DataFrame:
     return versions.where(~F.coalesce(ok, F.lit(False)))
 
 
+def invalid_rows(rows: DataFrame, table: Table) -> DataFrame:
+    """Rows that no write could have left: NULL in a key or in a column that is not nullable."""
+    required = [_c(c.name).isNull() for c in table.columns if not c.nullable]
+    return rows.where(F.greatest(F.lit(False), *required)) if required else rows.limit(0)
+
+
 def duplicate_keys(rows: DataFrame, key: list[str]) -> DataFrame:
     """Keys with several rows in one statement."""
     return rows.groupBy(*map(_c, key)).agg(F.count("*").alias("n")).where("n > 1").select(*map(_c, key))

@@ -245,6 +245,30 @@ def _(spark, d):
     return recovery.floors(event_versions(spark, d))
 
 
+@_operator("recovery_commit_faults", "WITH l AS (SELECT o_orderkey % 2000 AS t, o_orderkey // 2000 % 3 AS tab, o_custkey AS k, o_orderkey % 7 AS s, o_orderkey % 5 + 4 AS c FROM orders), g AS (SELECT t, count(DISTINCT tab) AS tabs, count(*) AS n, count(DISTINCT (tab, k)) AS ks, min(c - s) AS gap, min(s) AS start FROM l GROUP BY t) SELECT t AS __txn_id, CASE WHEN tabs > 1 THEN 'tables' WHEN n > ks THEN 'keys' ELSE 'timestamps' END AS reason FROM g WHERE tabs > 1 OR n > ks OR gap <= 0 OR start <= 0")
+def _(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    log = o.select((F.col("o_orderkey") % 2000).alias("__txn_id"), F.expr("o_orderkey div 2000 % 3").alias("table_id"), F.col("o_custkey").alias("k"), (F.col("o_orderkey") % 7).alias("__start_ts"), (F.col("o_orderkey") % 5 + 4).alias("__commit_ts"))
+    return recovery.faulty_commits(log, ["k"])
+
+
+@_operator("recovery_shared_log", "SELECT event_id AS lsn, CASE WHEN event_id % 4 = 0 THEN 'replica' ELSE 'database' END AS owner FROM events WHERE event_id % 4 = 0 OR event_id >= 500")
+def _(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("lsn"), F.when(F.col("event_id") % 4 == 0, "replica").otherwise("database").alias("owner"))
+    database, replica = recovery.shared_suffix(e, 500)
+    return database.unionByName(replica)
+
+
+@_operator("row_integrity", f"SELECT event_id FROM {_EVENTS} WHERE maybe_flag IS NULL OR maybe_user IS NULL")
+def _(spark, d):
+    from dataclasses import replace
+
+    source = External(spark, d, DERIVED)
+    table = source.register("events")
+    strict = replace(table, columns=tuple(replace(c, nullable=False) for c in table.columns))
+    return versions.invalid_rows(source.read("events"), strict).select("event_id")
+
+
 # commands: a turn is a request of its conversation; even turns arrive twice, turn 5 never
 
 _CMD = "a AS (SELECT CAST(conv_id AS BIGINT) AS client, CAST(turn AS BIGINT) + 1 AS sequence, 2 * CAST(turn AS BIGINT) AS arrival FROM conversations WHERE turn <> 5 UNION ALL SELECT CAST(conv_id AS BIGINT), CAST(turn AS BIGINT) + 1, 2 * CAST(turn AS BIGINT) + 1 FROM conversations WHERE turn % 2 = 0 AND turn <> 5)"

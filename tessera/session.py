@@ -195,7 +195,7 @@ class Session:
         """Inserts a DataFrame with the table's columns."""
         own = txn or self.open or Transaction(*self.store.begin())
         new = self._stored(dml.inserted(rows, table))
-        if not dml.missing_values(new, table).isEmpty():
+        if not versions.invalid_rows(new, table).isEmpty():
             raise ConstraintViolation("a value for a column that is not nullable is NULL")
         if not versions.duplicate_keys(new, list(table.primary_key)).isEmpty():
             raise ConstraintViolation("the statement inserts a key twice")

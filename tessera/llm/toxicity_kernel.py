@@ -24,6 +24,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections import Counter
 from dataclasses import dataclass
 
@@ -146,7 +147,10 @@ def kernel(units: list[str], landmarks: list[str]) -> np.ndarray:
         for c, w, weight in _subsequences(part):
             p = place[c]
             known = p < len(own)
-            np.add.at(out, w[known] + a, weight * matrix[p[known]])
+            p, w = p[known], w[known]
+            if len(w):  # windows come in order, so a unit's rows are next to each other
+                first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+                out[w[first] + a] += weight * np.add.reduceat(matrix[p], first, axis=0)
     return out / _norms(units)[:, None] / _norms(landmarks)[None, :]
 
 
@@ -212,18 +216,23 @@ def _bits(unit: str) -> set[str]:
     return {u[k : k + 5] for k in range(max(1, len(u) - 4))} | {u[:k] for k in range(6, min(len(u), 12) + 1)}
 
 
-def _gram_counts(units: list[str], whole: dict[int, list[np.ndarray]], least: int = 5) -> dict[int, Counter]:
-    """Texts of either label that have each gram, for grams that `least` toxic texts have. Hashed counts come first, so
-    that the many rare grams are never held."""
-    rough = np.zeros(1 << 22, np.int32)
-    for ids in whole[1]:
-        rough[list({zlib.crc32(g.encode()) & 0x3FFFFF for k in ids for g in _bits(units[k])})] += 1
-    out: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    for y in (1, 0):
-        for ids in whole[y]:
-            grams = {g for k in ids for g in _bits(units[k])}
-            out[y].update(g for g in grams if (g in out[1] if y == 0 else rough[zlib.crc32(g.encode()) & 0x3FFFFF] >= least))
-    return out
+def _gram_odds(units: list[str], whole: dict[int, list[np.ndarray]]) -> np.ndarray:
+    """Each unit's largest log odds of its grams: how much more often toxic texts have one than others do, from two
+    deviations below the toxic and above the other count. Grams are told apart by their CRC-32."""
+    lengths, grams = np.zeros(len(units), np.int64), array("I")
+    for k, u in enumerate(units):
+        own = [zlib.crc32(g.encode("utf-8", "replace")) for g in _bits(u)]
+        lengths[k] = len(own)
+        grams.extend(own)
+    distinct, of = np.unique(np.frombuffer(grams, np.uint32), return_inverse=True)
+    edges = np.concatenate([[0], np.cumsum(lengths)])
+    counts = {y: np.zeros(len(distinct)) for y in (0, 1)}
+    for y, texts in whole.items():
+        for ids in texts:
+            counts[y][np.unique(np.concatenate([of[edges[k] : edges[k + 1]] for k in ids]))] += 1
+    low = np.maximum(counts[1] - 2 * np.sqrt(counts[1]), 0.01) / len(whole[1])
+    high = (counts[0] + 2 * np.sqrt(counts[0]) + 2) / len(whole[0])
+    return np.maximum.reduceat((np.log(low) - np.log(high))[of], edges[:-1])
 
 
 def _disguised(unit: str) -> list[str]:
@@ -245,18 +254,10 @@ def fit_rows(rows: list[tuple[str, int]], landmarks: int = 256, negatives: int =
         return None
     units = list(number)
     whole = {y: [np.unique(np.concatenate(bag)) for bag in v] for y, v in bags.items()}
-    odds = _gram_counts(units, whole)
-    n = {y: len(v) for y, v in bags.items()}
-    low, high = (lambda k: max(k - 2 * math.sqrt(k), 0.01)), (lambda k: k + 2 * math.sqrt(k) + 2)
-
-    def first(u: str) -> float:
-        """The largest log odds of the unit's 5-grams, from two deviations below the toxic and above the other count."""
-        return max((math.log(low(odds[1][g]) / n[1]) - math.log(high(odds[0][g]) / n[0]) for g in _bits(u) if g in odds[1]), default=-9.0)
-
+    odds = _gram_odds(units, whole)
     times = {y: np.bincount(np.concatenate([s for bag in v for s in bag]), minlength=len(units)) for y, v in bags.items()}
     clean = Counter({units[k]: int(times[0][k]) for k in np.flatnonzero(times[0])})
-    toxic = {units[k]: int(times[1][k]) for k in np.flatnonzero(times[1])}
-    sure = {u: k for u, k in toxic.items() if first(u) >= math.log(12.0)}
+    sure = {units[k]: int(times[1][k]) for k in np.flatnonzero((times[1] > 0) & (odds >= math.log(12.0)))}
     model = None
     for _ in range(rounds):  # the witnesses stay; a round adds the clean units that the last machine found most toxic
         witnesses = Counter(sure)

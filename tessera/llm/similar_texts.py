@@ -6,11 +6,11 @@ are four fifths alike differ in some 6 % of these bits, so most segments differ
 key in common (see simhash_golay). A join key is the fuzzy keys of two segments; of four segments two suffice, whichever
 they are. As the corpus grows, bits of a third segment join the key, so that a key's random company stays small.
 
-Rows of a key meet in one task in order of id. Each is compared with the FIRST rows of its key and with the FIRST
-before it, by the bits that differ; what is close becomes a candidate. So a group of thousands of near copies yields a
-few rows a member, never all its pairs. Each candidate is verified with the exact shingle sets, and classes are the
-components of what passed. In a crowded key, of over FIRST + 1 rows, not all pairs are compared. So the members of
-crowded keys meet again, of each class so far the smallest alone, until a round links nothing: a group shrinks to its
+Rows of a key meet in one task in order of id and are compared by the bits that differ; what is close becomes a
+candidate: in keys of up to FEW rows each with each, in crowded keys each row with the first LEADERS and the LEADERS
+before it, and only where both codes are those nearest to its own segments, which is one key in a pair of segments. So
+a group of thousands of near copies yields some dozen rows a member, never all its pairs. Each candidate is verified
+with the exact shingle sets, and classes are the components of what passed. The members of crowded keys meet again, of each class so far the smallest alone, until a round links nothing: a group shrinks to its
 representatives in between. The tests and the README have the measured recall.
 
 Texts equal but for A-Z and white space are one node from the start. Texts without words are equal. Texts with fewer
@@ -34,7 +34,7 @@ from .simhash_golay import Golay
 SEGMENT, SEGMENTS = 23, 4
 PAIRS = [(a, b) for a in range(SEGMENTS) for b in range(a + 1, SEGMENTS)]
 FAR = 18
-FIRST = 16
+FEW, LEADERS = 8, 4
 #: Nodes up to which a key is two segments' fuzzy keys alone.
 PLAIN_NODES = 1 << 18
 
@@ -94,9 +94,10 @@ def sketches(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     return map_batches(docs.select(docs[doc_id].cast("long").alias("i"), docs[text].alias("t")), make, "doc_id long, body long, low long, high long")
 
 
-def fuzzy_pairs(low: np.ndarray, high: np.ndarray, golay: Golay, extra: int) -> tuple[np.ndarray, np.ndarray]:
-    """(position, key) of every key of every fingerprint. extra: exact bits of a further segment in the key."""
-    n, keys = len(low), []
+def fuzzy_pairs(low: np.ndarray, high: np.ndarray, golay: Golay, extra: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position, key, whether both codes are the nearest) of every key of every fingerprint. extra: exact bits of a
+    further segment in the key."""
+    n, keys, nearest = len(low), [], []
     parts = [((low >> np.uint64(23 * s)) & np.uint64(0x7FFFFF)).astype(np.int64) for s in range(2)]
     parts.append((((low >> np.uint64(46)) | (high << np.uint64(18))) & np.uint64(0x7FFFFF)).astype(np.int64))
     parts.append(((high >> np.uint64(5)) & np.uint64(0x7FFFFF)).astype(np.int64))
@@ -107,24 +108,27 @@ def fuzzy_pairs(low: np.ndarray, high: np.ndarray, golay: Golay, extra: int) ->
         start = np.flatnonzero(first)
         grid[at, np.arange(len(at)) - np.repeat(start, np.diff(np.concatenate([start, [len(at)]])))] = code
         keys.append(grid)
-    out_at, out_key = [], []
+        nearest.append(grid == (golay.codeword(p) >> 11)[:, None])
+    out_at, out_key, out_own = [], [], []
     for number, (a, b) in enumerate(PAIRS):
         both = (keys[a][:, :, None] << 12) | keys[b][:, None, :]
         ok = (keys[a][:, :, None] >= 0) & (keys[b][:, None, :] >= 0)
         at = np.nonzero(ok)[0]
         more = parts[next(s for s in range(SEGMENTS) if s not in (a, b))] & ((1 << extra) - 1)
         out_at.append(at)
+        out_own.append((nearest[a][:, :, None] & nearest[b][:, None, :])[ok])
         out_key.append((number << 48) | (more[at] << 24) | both[ok])
-    return np.concatenate(out_at), np.concatenate(out_key)
+    return np.concatenate(out_at), np.concatenate(out_key), np.concatenate(out_own)
 
 
-def compare(key: np.ndarray, node: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs (smaller place first) among rows sorted by key and node: with the FIRST before and the first
-    FIRST of the key, where FAR bits or fewer differ. Rows of crowded keys come as pairs with themselves."""
+def compare(key: np.ndarray, node: np.ndarray, low: np.ndarray, high: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs (smaller place first) among rows sorted by key and node, where FAR bits or fewer differ. Rows of
+    crowded keys come as pairs with themselves as well."""
     n = len(key)
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if n else np.zeros(0, int)
-    place = np.arange(n) - np.repeat(start, np.diff(np.concatenate([start, [n]])))
-    crowded = np.unique(node[np.repeat(np.diff(np.concatenate([start, [n]])) > FIRST + 1, np.diff(np.concatenate([start, [n]])))])
+    size = np.diff(np.concatenate([start, [n]]))
+    place, crowd = np.arange(n) - np.repeat(start, size), np.repeat(size > FEW, size)
+    crowded = np.unique(node[crowd])
     u, v = [crowded], [crowded]
 
     def keep(a: np.ndarray, b: np.ndarray) -> None:
@@ -132,13 +136,13 @@ def compare(key: np.ndarray, node: np.ndarray, low: np.ndarray, high: np.ndarray
         u.append(node[a[near]])
         v.append(node[b[near]])
 
-    rows = np.flatnonzero(place >= 1)
-    for back in range(1, FIRST + 1):
-        rows = rows[place[rows] >= back]
-        keep(rows - back, rows)
-    rows = np.flatnonzero(place > FIRST)
-    for k in range(FIRST):
-        rows = rows[place[rows] - k > FIRST]
+    for rows, most in ((np.flatnonzero(~crowd), FEW - 1), (np.flatnonzero(crowd & own), LEADERS)):
+        for back in range(1, most + 1):
+            rows = rows[place[rows] >= back]
+            keep(rows - back, rows)
+    rows = np.flatnonzero(crowd & own)
+    for k in range(LEADERS):
+        rows = rows[place[rows] - k > LEADERS]
         keep(rows - place[rows] + k, rows)
     return np.concatenate(u), np.concatenate(v)
 
@@ -153,8 +157,8 @@ def candidates(nodes: DataFrame, extra: int) -> DataFrame:
         def of(batch: pa.RecordBatch) -> dict:
             node, low, high = (batch.column(c).to_numpy() for c in ("node", "low", "high"))
             parts = [fuzzy_pairs(low[k : k + 2000].view(np.uint64), high[k : k + 2000].view(np.uint64), golay, extra) for k in range(0, len(node), 2000)]
-            at = np.concatenate([x + 2000 * k for k, (x, _) in enumerate(parts)])
-            return {"key": np.concatenate([x for _, x in parts]), "node": node[at], "low": low[at], "high": high[at]}
+            at = np.concatenate([x[0] + 2000 * k for k, x in enumerate(parts)])
+            return {"key": np.concatenate([x[1] for x in parts]), "node": node[at], "low": low[at], "high": high[at] | (np.concatenate([x[2] for x in parts]).astype(np.int64) << 32)}
 
         return of
 
@@ -172,7 +176,7 @@ def candidates(nodes: DataFrame, extra: int) -> DataFrame:
             yield out(*held)
 
     def out(key, node, low, high) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in compare(key, node, low.view(np.uint64), high.view(np.uint64))], names=["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in compare(key, node, low.view(np.uint64), (high & 0xFFFFFFFF).view(np.uint64), high >> 32 > 0)], names=["u", "v"])
 
     rows = map_batches(nodes.select("node", "low", "high"), make, "key long, node long, low long, high long")
     return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "u long, v long").distinct()

@@ -6,8 +6,8 @@ most candidates have is kept whole) and takes the query batches one after anothe
 query it scatters weight * posting into a dense array of scores, then selects the block's best k by partition.
 The best of the blocks meet in a second step, k rows a query and block.
 
-Every query meets every block, so queries are repeated once a block: a block's size grows with the number of queries
-(`block`), so the repetition stays in proportion to the candidates. Sizes are counted, nothing is broadcast.
+Every query meets every block, so queries are repeated once a block: a block's size grows with the number of queries,
+up to what a task can hold (MOST_BLOCK), to keep the repetition low. Sizes are counted, nothing is broadcast.
 
 Defined cases: null vectors and vectors with a null, NaN or infinite component take no part, and neither do rows with
 a null id; vectors of different lengths meet on the dimensions that both have; rows with the query's id are not its
@@ -26,6 +26,10 @@ from pyspark.sql import functions as F
 from ._base import cut, ship
 
 
+#: A block of this many vectors of 64 dimensions takes 64 MB.
+MOST_BLOCK = 1 << 17
+
+
 def quantised(vectors: DataFrame, scale: int, vec_id: str, vector: str) -> DataFrame:
     """vec_id, v (array of int) of the rows that take part."""
     x = F.col("x")
@@ -72,7 +76,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, bl
     rows = cut(quantised(vectors, scale, vec_id, vector))
     asked = rows.where(is_query)
     n, q = rows.count(), asked.select("vec_id").distinct().count()
-    blocks = max(1, -(-n // max(block, q // 4)), min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // 1024))
+    blocks = max(1, -(-n // min(max(block, q // 4), MOST_BLOCK)), min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // 1024))
     number = F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int")
     one = asked.groupBy("vec_id").agg(F.min("v").alias("v"))
     every = one.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("asks"), "vec_id", "v")

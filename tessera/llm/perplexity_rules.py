@@ -31,12 +31,30 @@ from ._base import cut, filter_batches, map_batches, ship
 
 _SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = b"#*$%&|<>"
-WINDOW = 8
+WINDOW, LONG = 8, 50_000
 MAX_ORDER = 7
 #: Distinct words that a task holds before it passes on what it has counted or forgets its scores.
 MOST_WORDS = 200_000
 
 
+def _twice(ids: np.ndarray) -> np.ndarray:
+    """Places of the windows of WINDOW numbers that are in ids twice or more. Exact: windows are compared as bytes, in
+    long texts by ranks of pairs, pairs of pairs and so on, which need no object a window."""
+    n = len(ids) - WINDOW + 1
+    if n < LONG:
+        packed, width = ids.astype(np.int32).tobytes(), 4 * WINDOW
+        windows = [packed[at : at + width] for at in range(0, 4 * n, 4)]
+        if len(set(windows)) == n:
+            return np.zeros(0, np.int64)
+        times = Counter(windows)
+        return np.array([i for i, x in enumerate(windows) if times[x] > 1], np.int64)
+    ranks, step = ids.astype(np.int64), 1
+    while step < WINDOW:
+        ranks = np.unique(ranks[:-step] * (int(ranks.max()) + 1) + ranks[step:], return_inverse=True)[1].astype(np.int64)
+        step *= 2
+    return np.flatnonzero(np.bincount(ranks)[ranks] > 1)
+
+
 def base_statistics(text: str | None, words: list[bytes] | None = None, ids: np.ndarray | None = None) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of one whole text. ids: equal numbers for equal words."""
     if not text:
@@ -53,12 +71,9 @@ def base_statistics(text: str | None, words: list[bytes] | None = None, ids: np.
         if ids is None:
             known: dict[bytes, int] = {}
             ids = np.array([known.setdefault(w, len(known)) for w in words], np.int32)
-        packed, width = ids.astype(np.int32).tobytes(), 4 * WINDOW
-        windows = [packed[at : at + width] for at in range(0, 4 * (n - WINDOW + 1), 4)]
-        if len(set(windows)) < len(windows):
-            times = Counter(windows)
+        at = _twice(ids)
+        if len(at):
             edges = np.zeros(n + 1, np.int64)
-            at = np.array([i for i, x in enumerate(windows) if times[x] > 1])
             np.add.at(edges, at, 1)
             np.add.at(edges, at + WINDOW, -1)
             repeated = int((np.cumsum(edges[:-1]) > 0).sum())

@@ -24,7 +24,7 @@ def plain_base(text):
     return len(w), sum(map(len, w)), sum((text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(marked)
 
 
-@pytest.mark.parametrize("text", [None, "", " \n", "a", "a b c d e f g h a b c d e f g h", "x\nx\n x\n\ny\ny", "é ü # <b> |", words(200, 5) + " " + words(50, 5) + "\n" + words(200, 5), "w " * 30])
+@pytest.mark.parametrize("text", [None, "", " \n", "a", "a b c d e f g h a b c d e f g h", "x\nx\n x\n\ny\ny", "é ü # <b> |", words(200, 5) + " " + words(50, 5) + "\n" + words(200, 5), "w " * 30, words(60_000, 6) + " " + words(300, 6)])
 def test_base_statistics(text):
     assert perplexity_rules.base_statistics(text) == plain_base(text)
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -135,7 +134,3 @@ def logistic(x: list[list[float]], y: list[int], ridge: float = 1e-3, steps: int
         if np.abs(step).max() < 1e-9:
             break
     return w
-
-
-def local_cores() -> int:
-    return os.cpu_count() or 1

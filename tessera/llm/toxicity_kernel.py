@@ -49,8 +49,10 @@ _SENTENCE = re.compile(r"[.!?\n]+\s")
 
 
 def _classes(points: np.ndarray) -> np.ndarray:
-    """Six-bit classes of code points: a to z, the edge mark, and 37 classes of all else."""
-    return np.where((points >= 97) & (points <= 122), points - 97, np.where(points == 0, _EDGE, 27 + points % 37)).astype(np.int32)
+    """Six-bit classes of code points: a to z, the edge mark, one for all ASCII marks, one for digits, 35 for the rest."""
+    letter, digit = (points >= 97) & (points <= 122), (points >= 48) & (points <= 57)
+    rest = np.where(digit, 28, np.where(points < 128, 27, 29 + points % 35))
+    return np.where(letter, points - 97, np.where(points == 0, _EDGE, rest)).astype(np.int32)
 
 
 def units_of(text: str | None) -> list[str]:

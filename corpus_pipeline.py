@@ -10,7 +10,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessera.llm import compression_quality, mixing, packing, perplexity_rules, similar_texts
 from tessera.llm._base import shared_dir, table

@@ -27,14 +27,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import cut, map_batches, ship
+from ._base import IdSet, cut, filter_batches, map_batches, ship
 from .components import connected_components
 from .simhash_golay import Golay
 
 SEGMENT, SEGMENTS = 23, 4
 PAIRS = [(a, b) for a in range(SEGMENTS) for b in range(a + 1, SEGMENTS)]
-FAR = 18
-FEW, LEADERS = 8, 4
+#: Of the 63 bits that travel with a key, how many may differ.
+FAR = 14
+FEW, LEADERS = 6, 2
 #: Nodes up to which a key is two segments' fuzzy keys alone.
 PLAIN_NODES = 1 << 18
 
@@ -121,10 +122,10 @@ def fuzzy_pairs(low: np.ndarray, high: np.ndarray, golay: Golay, extra: int) ->
     return np.concatenate(out_at), np.concatenate(out_key), np.concatenate(out_own)
 
 
-def compare(key: np.ndarray, node: np.ndarray, low: np.ndarray, high: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs (smaller place first) among rows sorted by key and node, where FAR bits or fewer differ. Rows of
-    crowded keys come as pairs with themselves as well."""
-    n = len(key)
+def compare(key: np.ndarray, node: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs (smaller place first) among rows sorted by key and node, where FAR bits or fewer differ. The top
+    bit says whether the key is the row's own. Rows of crowded keys come as pairs with themselves as well."""
+    n, own, bits = len(key), bits >> np.uint64(63) > 0, bits & np.uint64((1 << 63) - 1)
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if n else np.zeros(0, int)
     size = np.diff(np.concatenate([start, [n]]))
     place, crowd = np.arange(n) - np.repeat(start, size), np.repeat(size > FEW, size)
@@ -132,7 +133,7 @@ def compare(key: np.ndarray, node: np.ndarray, low: np.ndarray, high: np.ndarray
     u, v = [crowded], [crowded]
 
     def keep(a: np.ndarray, b: np.ndarray) -> None:
-        near = np.bitwise_count(low[a] ^ low[b]).astype(int) + np.bitwise_count(high[a] ^ high[b]) <= FAR
+        near = np.bitwise_count(bits[a] ^ bits[b]) <= FAR
         u.append(node[a[near]])
         v.append(node[b[near]])
 
@@ -158,13 +159,13 @@ def candidates(nodes: DataFrame, extra: int) -> DataFrame:
             node, low, high = (batch.column(c).to_numpy() for c in ("node", "low", "high"))
             parts = [fuzzy_pairs(low[k : k + 2000].view(np.uint64), high[k : k + 2000].view(np.uint64), golay, extra) for k in range(0, len(node), 2000)]
             at = np.concatenate([x[0] + 2000 * k for k, x in enumerate(parts)])
-            return {"key": np.concatenate([x[1] for x in parts]), "node": node[at], "low": low[at], "high": high[at] | (np.concatenate([x[2] for x in parts]).astype(np.int64) << 32)}
+            return {"key": np.concatenate([x[1] for x in parts]), "node": node[at], "bits": ((low.view(np.uint64)[at] & np.uint64((1 << 63) - 1)) | (np.concatenate([x[2] for x in parts]).astype(np.uint64) << np.uint64(63))).view(np.int64)}
 
         return of
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
-        names = ("key", "node", "low", "high")
+        names = ("key", "node", "bits")
         for b in batches:
             new = [b.column(c).to_numpy() for c in names]
             held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
@@ -175,22 +176,30 @@ def candidates(nodes: DataFrame, extra: int) -> DataFrame:
         if held is not None and len(held[0]):
             yield out(*held)
 
-    def out(key, node, low, high) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in compare(key, node, low.view(np.uint64), (high & 0xFFFFFFFF).view(np.uint64), high >> 32 > 0)], names=["u", "v"])
+    def out(key, node, bits) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in compare(key, node, bits.view(np.uint64))], names=["u", "v"])
 
-    rows = map_batches(nodes.select("node", "low", "high"), make, "key long, node long, low long, high long")
+    rows = map_batches(nodes.select("node", "low", "high"), make, "key long, node long, bits long")
     return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "u long, v long").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, least: float, width: int, text: str, doc_id: str) -> DataFrame:
-    """The pairs of ids whose texts' shingle sets are at least that similar. Only texts in a pair are read into sets."""
-    ids = pairs.select(F.col("u").alias("i")).unionByName(pairs.select(F.col("v").alias("i"))).distinct()
-    texts = docs.select(docs[doc_id].cast("long").alias("i"), docs[text].alias("t")).join(ids, "i", "left_semi")
+def verified(pairs: DataFrame, docs: DataFrame, least: float, width: int, text: str, doc_id: str, repeated: bool) -> DataFrame:
+    """The pairs of ids whose texts' shingle sets are at least that similar. Texts of other ids are passed over where
+    they are read and none is shuffled. repeated: whether ids may have several rows."""
+    ids = IdSet(pairs.select(F.explode(F.array("u", "v")).alias("i")))
+    tool = docs.sparkSession.sparkContext.broadcast(ids)
 
     def make():
-        return lambda batch: {"i": batch.column("i"), "s": [shingle_hashes(_words(t), width).tobytes() for t in batch.column("t").to_pylist()]}
+        wanted = tool.value
 
-    sets = cut(map_batches(texts, make, "i long, s binary"))
+        def of(batch: pa.RecordBatch) -> dict:
+            part = batch.filter(pa.array(wanted.holds(batch.column("i"))))
+            return {"i": part.column("i"), "s": [shingle_hashes(_words(t), width).tobytes() for t in part.column("t").to_pylist()]}
+
+        return of
+
+    sets = map_batches(docs.select(docs[doc_id].cast("long").alias("i"), docs[text].alias("t")), make, "i long, s binary")
+    sets = cut(sets.distinct() if repeated else sets)
     left, right = sets.select(F.col("i").alias("u"), F.col("s").alias("a")), sets.select(F.col("i").alias("v"), F.col("s").alias("b"))
 
     def check():
@@ -211,10 +220,11 @@ def classes(docs: DataFrame, least: float = 0.8, width: int = 5, text: str = "te
     open_ = nodes.where("node is not null").groupBy("node").agg(F.first("low").alias("low"), F.first("high").alias("high"))
     n = nodes.count()
     extra = min(23, max(0, (max(n, 1) - 1).bit_length() - PLAIN_NODES.bit_length() + 1))
+    repeated = not rows.groupBy("doc_id").count().where("count > 1").isEmpty()
     links = None
     while True:
         pairs = cut(candidates(open_, extra))
-        found = cut(verified(pairs.where("u <> v"), docs, least, width, text, doc_id))
+        found = cut(verified(pairs.where("u <> v"), docs, least, width, text, doc_id, repeated))
         if found.isEmpty():
             break
         links = found if links is None else cut(links.unionByName(found))
@@ -231,9 +241,14 @@ def classes(docs: DataFrame, least: float = 0.8, width: int = 5, text: str = "te
 
 def keep_one(docs: DataFrame, least: float = 0.8, width: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of docs, all columns, one of each class: its smallest id's. Rows with a null id stay. Of several rows
-    with the kept id, one stays."""
-    first = cut(classes(docs, least, width, text, doc_id).where("doc_id = component").groupBy("doc_id").agg(F.count("*").alias("rows")))
-    kept = docs.join(first, docs[doc_id] == first["doc_id"], "left_semi")
-    if not first.where("rows > 1").isEmpty():
-        kept = kept.dropDuplicates([doc_id])
-    return kept.unionByName(docs.where(docs[doc_id].isNull()))
+    with the kept id, one stays. Rows that stay for sure pass where they are read; only the others meet the ids."""
+    rows = cut(classes(docs, least, width, text, doc_id).groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("component").alias("component")).where("doc_id is not null"))
+    gone = rows.where("component <> doc_id or rows > 1")
+    tool = docs.sparkSession.sparkContext.broadcast(IdSet(gone.select("doc_id")))
+    ids = lambda batch: batch.column(doc_id).cast(pa.int64())
+    clear = filter_batches(docs, lambda: lambda batch: ~tool.value.holds(ids(batch)))
+    rest = filter_batches(docs, lambda: lambda batch: tool.value.holds(ids(batch)))
+    rest = rest.join(rows.where("component = doc_id").select(F.col("doc_id").alias("_id")), F.col(doc_id) == F.col("_id"), "left_semi")
+    if not rows.where("rows > 1").isEmpty():
+        rest = rest.dropDuplicates([doc_id])
+    return clear.unionByName(rest)

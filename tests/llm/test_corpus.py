@@ -446,3 +446,14 @@ def test_pipeline_of_nothing_and_of_odd_rows(spark, odd_docs, tmp_path):
         docs.write.parquet(f"{d}/documents.parquet")
         spark.createDataFrame([(4, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
         assert corpus_pipeline.run(spark, d).count() >= 0
+
+
+def test_id_sets_hold_their_ids_and_few_others(spark):
+    import pyarrow as pa
+
+    from tessera.llm._base import IdSet
+
+    ids = [0, 1, -1, 7, 1 << 62, -(1 << 63), *range(1000, 3000, 2)]
+    s = IdSet(spark.createDataFrame([(i,) for i in ids] + [(7,)], "i long"))
+    assert s.holds(pa.array(ids)).all() and not s.holds(pa.array([None], pa.int64())).any()
+    assert s.holds(pa.array(range(1001, 3001, 2))).sum() < 10 and IdSet(spark.range(0)).holds(pa.array([5])).sum() == 0

@@ -167,7 +167,7 @@ def test_large_groups_of_near_copies_collapse_without_all_pairs(make_docs):
     got = {r.doc_id: r.component for r in similar_texts.classes(docs).collect()}
     want = plain_similar(dict(enumerate(texts)))
     assert len(set(want.values())) == 41 and got == want
-    nodes = similar_texts.sketches(docs, "text", "doc_id").select(F.col("doc_id").alias("node"), "low", "high")
+    nodes = similar_texts.sketches(docs, 5, "text", "doc_id").select(F.col("doc_id").alias("node"), "low", "high")
     assert similar_texts.candidates(nodes, 0).count() <= 251 * (1 + 12 * similar_texts.LEADERS + 2 * similar_texts.FEW)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import sys
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -50,7 +51,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | None]], ddl: str) -> DataFrame:
+def drop_encoders() -> None:
+    """Frees what tokenizing tasks have left in this Python worker."""
+    tokens = sys.modules.get(f"{__package__}._tokens")
+    if tokens is not None:
+        tokens._ENCODERS.clear()
+
+
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | None]], ddl: str, tokenizes: bool = False) -> DataFrame:
     """make() runs once a task and gives a function from a batch to columns (name -> list or array) of the result."""
     ship(df.sparkSession)
     schema = StructType.fromDDL(ddl)
@@ -58,6 +66,8 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dic
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        if not tokenizes:
+            drop_encoders()
         arrow, of = to_arrow_schema(schema), make()
         for batch in batches:
             for part in slices(batch):
@@ -73,6 +83,7 @@ def filter_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch],
     ship(df.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_encoders()
         of = make()
         for batch in batches:
             for part in slices(batch):

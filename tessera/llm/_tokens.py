@@ -25,7 +25,7 @@ _WORD_END_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 class Encoder:
     """encode() gives each text's ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -71,7 +71,8 @@ class Encoder:
         return [self._library([t])[0] if got is None else b"".join(map(of, got)) for t, got in zip(texts, cuts, strict=True)]
 
 
-#: One encoder a process and file: Spark reuses its Python workers, and with them the cache.
+#: One encoder a process and file: Spark reuses its Python workers, and with them the cache. Tasks of other operators
+#: drop it, so that it takes no memory from them.
 _ENCODERS: dict[str, Encoder] = {}
 
 

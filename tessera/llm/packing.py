@@ -60,7 +60,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, with_ids
         return of
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return map_batches(docs.select(docs[doc_id].alias("i"), docs[text].alias("t")), make, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, task int, number long" + ", ids binary" * with_ids)
+    return map_batches(docs.select(docs[doc_id].alias("i"), docs[text].alias("t")), make, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, task int, number long" + ", ids binary" * with_ids, tokenizes=True)
 
 
 def fullest(left: dict[int, int], room: int) -> list[tuple[int, int]]:

@@ -97,7 +97,7 @@ def train(docs: DataFrame, tokenizer: str, end_id: int, width: int, dict_bytes:
         tool = encoder(tokenizer)
         return lambda batch: {"i": batch.column("i"), "raw": [_narrow(x + end, width)[:SAMPLE_BYTES] for x in tool.encode(batch.column("t").to_pylist())]}
 
-    rows = sorted((r.i, bytes(r.raw)) for r in map_batches(sample, make, "i long, raw binary").groupBy("i").agg(F.min("raw").alias("raw")).collect())
+    rows = sorted((r.i, bytes(r.raw)) for r in map_batches(sample, make, "i long, raw binary", tokenizes=True).groupBy("i").agg(F.min("raw").alias("raw")).collect())
     try:
         return zstandard.train_dictionary(dict_bytes, [r[1] for r in rows], level=LEVEL).as_bytes()
     except (zstandard.ZstdError, ValueError):

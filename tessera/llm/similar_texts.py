@@ -237,7 +237,8 @@ def verified(pairs: DataFrame, docs: DataFrame, least: float, width: int, text:
 
         return of
 
-    return map_batches(pairs.join(left, "u").join(right, "v"), check, "u long, v long")
+    # sets are wide: merge joins at every size, never a broadcast
+    return map_batches(pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v"), check, "u long, v long")
 
 
 def classes(docs: DataFrame, least: float = 0.8, width: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -65,7 +65,7 @@ class Encoder:
             cuts.append(got)
             if got:
                 seen.update(got)
-        new = list(seen - self.cache.keys())
+        new = [p for p in seen if p not in self.cache]
         self.cache.update(zip(new, self._library(new), strict=True))
         of = self.cache.__getitem__
         return [self._library([t])[0] if got is None else b"".join(map(of, got)) for t, got in zip(texts, cuts, strict=True)]

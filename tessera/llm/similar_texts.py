@@ -4,7 +4,7 @@ simhash_golay links fingerprints that are almost equal. Here the fingerprint onl
 change little: SimHash of a text's set of distinct words, 92 bits, four segments of 23. Texts whose five-word shingles
 are four fifths alike differ in some 6 % of these bits, so most segments differ in two bits or fewer and have a fuzzy
 key in common (see simhash_golay). A join key is the fuzzy keys of two segments; of four segments two suffice, whichever
-they are. As the corpus grows, bits of a third segment join the key, so that a key's random company stays small.
+they are, at every size of the corpus.
 
 Rows of a key meet in one task in order of id and are compared by the bits that differ; what is close becomes a
 candidate unless minhashes of the shingles rule it out: in keys of up to FEW rows each with each, in crowded keys each row with the first LEADERS and the LEADERS
@@ -37,8 +37,6 @@ PAIRS = [(a, b) for a in range(SEGMENTS) for b in range(a + 1, SEGMENTS)]
 #: and 13 do, with deviations of 2.4 and 3.4.
 FAR, MINHASH_FAR = 15, 26
 FEW, LEADERS = 6, 2
-#: Nodes up to which a key is two segments' fuzzy keys alone.
-PLAIN_NODES = 1 << 18
 
 
 def word_set_simhash(words: list[bytes]) -> tuple[int, int]:
@@ -166,7 +164,7 @@ def compare(key: np.ndarray, node: np.ndarray, low: np.ndarray, high: np.ndarray
     return np.concatenate(u), np.concatenate(v)
 
 
-def candidates(nodes: DataFrame, extra: int) -> DataFrame:
+def candidates(nodes: DataFrame, extra: int = 0) -> DataFrame:
     """nodes: node, low, high. Distinct pairs u, v; u = v marks a node of a crowded key."""
     ship(nodes.sparkSession)
 
@@ -247,12 +245,10 @@ def classes(docs: DataFrame, least: float = 0.8, width: int = 5, text: str = "te
     first = [F.first(c).alias(c) for c in ("low", "high", "m1", "m2")]
     nodes = cut(rows.groupBy("body").agg(F.min("doc_id").alias("node"), *first))
     open_ = cut(nodes.where("node is not null").groupBy("node").agg(*first))
-    n = nodes.count()
-    extra = min(23, max(0, (max(n, 1) - 1).bit_length() - PLAIN_NODES.bit_length() + 1))
     repeated = not rows.groupBy("doc_id").count().where("count > 1").isEmpty()
     links = None
     while True:
-        pairs = cut(candidates(open_, extra))
+        pairs = cut(candidates(open_))
         found = cut(verified(cut(likely(pairs, open_)), docs, least, width, text, doc_id, repeated))
         if found.isEmpty():
             break

@@ -171,6 +171,15 @@ def test_large_groups_of_near_copies_collapse_without_all_pairs(make_docs):
     assert similar_texts.candidates(nodes, 0).count() <= 251 * (1 + 12 * similar_texts.LEADERS + 2 * similar_texts.FEW)
 
 
+def test_links_do_not_depend_on_the_size_of_the_corpus(make_docs, monkeypatch):
+    """As if the corpus were of many doublings over the size from which keys once had further exact bits."""
+    monkeypatch.setattr(similar_texts, "PLAIN_NODES", 1, raising=False)
+    rng = random.Random(8)
+    texts = [t for k in range(60) for base in [words(200, 300 + k)] for t in (base, edited(base, rng, 3))]
+    got = {r.doc_id: r.component for r in similar_texts.classes(make_docs(list(enumerate(texts)))).collect()}
+    assert got == plain_similar(dict(enumerate(texts)))
+
+
 def test_similar_texts_of_odd_rows(odd_docs):
     rows = similar_texts.classes(odd_docs).collect()
     of = {}

@@ -3,15 +3,18 @@
 simhash_golay links fingerprints that are almost equal. Here the fingerprint only finds candidates, so it is made to
 change little: SimHash of a text's set of distinct words, 92 bits, four segments of 23. Texts whose five-word shingles
 are four fifths alike differ in some 6 % of these bits, so most segments differ in two bits or fewer and have a fuzzy
-key in common (see simhash_golay). A join key is the fuzzy keys of two segments; of four segments two suffice, whichever
-they are, at every size of the corpus.
+key in common (see simhash_golay). A join key is the fuzzy keys nearest to two segments, at every size of the corpus.
 
-Rows of a key meet in one task in order of id and are compared by the bits that differ; what is close becomes a
-candidate unless minhashes of the shingles rule it out: in keys of up to FEW rows each with each, in crowded keys each row with the first LEADERS and the LEADERS
-before it, and only where both codes are those nearest to its own segments, which is one key in a pair of segments. So
-a group of thousands of near copies yields some dozen rows a member, never all its pairs. Each candidate is verified
-with the exact shingle sets, and classes are the components of what passed. The members of crowded keys meet again, of each class so far the smallest alone, until a round links nothing: a group shrinks to its
-representatives in between. The tests and the README have the measured recall.
+That first pass makes classes out of what is close, cheaply, and may miss pairs: rows of a key of up to FEW rows are
+compared each with each, in crowded keys each row with the first LEADERS and the LEADERS before it.
+
+What decides is the second pass, which looks at all pairs that can be similar enough. Two sets of n shingles or fewer
+that are `least` alike share one of their first n - ceil(least n) + 1 shingles in any fixed order (prefix filter). The
+order has shingles that are frequent in a sample last, so that a template or a common passage is in few prefixes. Rows of a
+shingle meet in one task: in keys of up to MANY rows each with each, in larger ones each with the first LEADERS; then
+the members of larger keys once more, each with each, but for pairs that are in one class by now. Of these pairs the
+minhashes rule out what is clearly not similar, the others are verified with the exact shingle sets, and classes are the
+components of what passed. The tests and the README have the measured recall.
 
 Texts equal but for A-Z and white space are one node from the start. Texts without words are equal. Texts with fewer
 words than a shingle have one shingle. Rows with null ids take their text's class and give none their id.
@@ -37,6 +40,9 @@ PAIRS = [(a, b) for a in range(SEGMENTS) for b in range(a + 1, SEGMENTS)]
 #: and 13 do, with deviations of 2.4 and 3.4.
 FAR, MINHASH_FAR = 15, 26
 FEW, LEADERS = 6, 2
+#: Rows of a shingle compared each with each at once; texts whose shingles are counted, and how often one occurs there
+#: to count as frequent. They bear on cost alone.
+MANY, SAMPLE, FREQUENT = 48, 20_000, 8
 
 
 def word_set_simhash(words: list[bytes]) -> tuple[int, int]:
@@ -89,26 +95,61 @@ def _words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split() if text else []
 
 
-def sketches(docs: DataFrame, width: int, text: str, doc_id: str) -> DataFrame:
-    """doc_id, body (hash of the words), low and high (word-set SimHash), m1 and m2 (minhashes) of every row."""
+def frequent_shingles(docs: DataFrame, width: int, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that SAMPLE texts have FREQUENT times or more, sorted, and their counts."""
+    n = docs.count()
+    part = docs.select(docs[text].alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < F.lit(max(1, int((1 << 20) * min(1.0, SAMPLE / max(n, 1))))))
 
     def make():
         def of(batch: pa.RecordBatch) -> dict:
-            out: dict[str, list] = {"body": [], "low": [], "high": [], "m1": [], "m2": []}
+            sets = [shingle_hashes(_words(t), width) for t in batch.column("t").to_pylist()]
+            s, k = np.unique(np.concatenate([np.zeros(0, np.uint32), *sets]), return_counts=True)
+            return {"s": s.astype(np.int64), "k": k}
+
+        return of
+
+    rows = map_batches(part, make, "s long, k long").groupBy("s").agg(F.sum("k").alias("k")).where(F.col("k") >= FREQUENT).toArrow()
+    s, k = rows.column("s").to_numpy(), rows.column("k").to_numpy()
+    order = np.argsort(s)
+    return s[order].astype(np.uint32), k[order].astype(np.uint64)
+
+
+def prefix(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
+    """The first shingles in the order of (frequency, hash), as many as any set that is `least` alike must have one of."""
+    most = len(shingles) - int(np.ceil(least * len(shingles) - 1e-6)) + 1
+    if most >= len(shingles):
+        return shingles
+    known, counts = frequent
+    rank = shingles.astype(np.uint64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+        rank |= np.where(known[at] == shingles, counts[at], 0).astype(np.uint64) << np.uint64(32)
+    return shingles[np.argpartition(rank, most - 1)[:most]]
+
+
+def sketches(docs: DataFrame, width: int, text: str, doc_id: str, least: float = 0.8, frequent: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint32), np.zeros(0, np.uint64))) -> DataFrame:
+    """doc_id, body (hash of the words), low and high (word-set SimHash), m1 and m2 (minhashes), prefix (the set's first
+    shingles, 4 bytes each) of every row."""
+    ship(docs.sparkSession)
+    tool = docs.sparkSession.sparkContext.broadcast(frequent)
+
+    def make():
+        known = tool.value
+
+        def of(batch: pa.RecordBatch) -> dict:
+            out: dict[str, list] = {"body": [], "low": [], "high": [], "m1": [], "m2": [], "prefix": []}
             for t in batch.column("t").to_pylist():
                 w = _words(t)
                 low, high = word_set_simhash(w)
-                out["body"].append(xxhash.xxh3_64_intdigest(b" ".join(w)))
-                out["low"].append(low)
-                out["high"].append(high)
-                m1, m2 = one_bit_minhashes(shingle_hashes(w, width))
-                out["m1"].append(m1)
-                out["m2"].append(m2)
-            return {"doc_id": batch.column("i"), "high": out["high"]} | {k: np.array(out[k], np.uint64).view(np.int64) for k in ("body", "low", "m1", "m2")}
+                shingles = shingle_hashes(w, width)
+                m1, m2 = one_bit_minhashes(shingles)
+                for c, x in zip(out, (xxhash.xxh3_64_intdigest(b" ".join(w)), low, high, m1, m2, prefix(shingles, known, least).tobytes()), strict=True):
+                    out[c].append(x)
+            return {"doc_id": batch.column("i"), "high": out["high"], "prefix": out["prefix"]} | {k: np.array(out[k], np.uint64).view(np.int64) for k in ("body", "low", "m1", "m2")}
 
         return of
 
-    return map_batches(docs.select(docs[doc_id].cast("long").alias("i"), docs[text].alias("t")), make, "doc_id long, body long, low long, high long, m1 long, m2 long")
+    return map_batches(docs.select(docs[doc_id].cast("long").alias("i"), docs[text].alias("t")), make, "doc_id long, body long, low long, high long, m1 long, m2 long, prefix binary")
 
 
 def fuzzy_pairs(low: np.ndarray, high: np.ndarray, golay: Golay, extra: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,26 +179,24 @@ def fuzzy_pairs(low: np.ndarray, high: np.ndarray, golay: Golay, extra: int) ->
     return np.concatenate(out_at), np.concatenate(out_key), np.concatenate(out_own)
 
 
-def compare(key: np.ndarray, node: np.ndarray, low: np.ndarray, high: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs (smaller place first) among rows sorted by key and node, where FAR bits or fewer differ. own: the
-    key is of the row's nearest codes. Rows of crowded keys come as pairs with themselves as well."""
+def compare(key: np.ndarray, node: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs (smaller place first) among rows sorted by key and node, where FAR bits or fewer differ."""
     n = len(key)
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if n else np.zeros(0, int)
     size = np.diff(np.concatenate([start, [n]]))
     place, crowd = np.arange(n) - np.repeat(start, size), np.repeat(size > FEW, size)
-    crowded = np.unique(node[crowd])
-    u, v = [crowded], [crowded]
+    u, v = [node[:0]], [node[:0]]
 
     def keep(a: np.ndarray, b: np.ndarray) -> None:
         near = np.bitwise_count(low[a] ^ low[b]).astype(int) + np.bitwise_count(high[a] ^ high[b]) <= FAR
         u.append(node[a[near]])
         v.append(node[b[near]])
 
-    for rows, most in ((np.flatnonzero(~crowd), FEW - 1), (np.flatnonzero(crowd & own), LEADERS)):
+    for rows, most in ((np.flatnonzero(~crowd), FEW - 1), (np.flatnonzero(crowd), LEADERS)):
         for back in range(1, most + 1):
             rows = rows[place[rows] >= back]
             keep(rows - back, rows)
-    rows = np.flatnonzero(crowd & own)
+    rows = np.flatnonzero(crowd)
     for k in range(LEADERS):
         rows = rows[place[rows] - k > LEADERS]
         keep(rows - place[rows] + k, rows)
@@ -165,7 +204,7 @@ def compare(key: np.ndarray, node: np.ndarray, low: np.ndarray, high: np.ndarray
 
 
 def candidates(nodes: DataFrame, extra: int = 0) -> DataFrame:
-    """nodes: node, low, high. Distinct pairs u, v; u = v marks a node of a crowded key."""
+    """nodes: node, low, high. Distinct pairs u, v that share the codes nearest to two of their segments."""
     ship(nodes.sparkSession)
 
     def make():
@@ -174,30 +213,107 @@ def candidates(nodes: DataFrame, extra: int = 0) -> DataFrame:
         def of(batch: pa.RecordBatch) -> dict:
             node, low, high = (batch.column(c).to_numpy() for c in ("node", "low", "high"))
             parts = [fuzzy_pairs(low[k : k + 2000].view(np.uint64), high[k : k + 2000].view(np.uint64), golay, extra) for k in range(0, len(node), 2000)]
-            at = np.concatenate([x[0] + 2000 * k for k, x in enumerate(parts)])
-            return {"key": np.concatenate([x[1] for x in parts]), "node": node[at], "low": low[at], "high": high[at].astype(np.int32) | (np.concatenate([x[2] for x in parts]).astype(np.int32) << 30)}
+            own = np.concatenate([x[2] for x in parts])
+            at = np.concatenate([x[0] + 2000 * k for k, x in enumerate(parts)])[own]
+            return {"key": np.concatenate([x[1] for x in parts])[own], "node": node[at], "low": low[at], "high": high[at].astype(np.int32)}
 
         return of
 
+    def pairs(key, node, low, high) -> tuple[np.ndarray, np.ndarray]:
+        return compare(key, node, low.view(np.uint64), high.view(np.uint32))
+
+    rows = map_batches(nodes.select("node", "low", "high"), make, "key long, node long, low long, high int")
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(by_whole_keys(pairs), "u long, v long").distinct()
+
+
+def by_whole_keys(pairs):
+    """A function of batches sorted by their first column that hands columns to `pairs` and cuts between keys only."""
+
     def run(batches) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        names = ("key", "node", "low", "high")
+        held: list[list[np.ndarray]] = []
         for b in batches:
-            new = [b.column(c).to_numpy() for c in names]
-            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-            done = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last key may go on
-            if done:
-                yield out(*(x[:done] for x in held))
-                held = [x[done:] for x in held]
-        if held is not None and len(held[0]):
-            yield out(*held)
-
-    def out(key, node, low, high) -> pa.RecordBatch:
-        pairs = compare(key, node, low.view(np.uint64), (high & ((1 << 28) - 1)).astype(np.uint32), high >> 30 > 0)
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs], names=["u", "v"])
+            new = [c.to_numpy() for c in b.columns]
+            if not len(new[0]):
+                continue
+            done = int(np.searchsorted(new[0], new[0][-1]))  # the last key may go on
+            if held and (done or held[-1][0][-1] != new[0][0]):
+                yield out(held + [[x[:done] for x in new]])
+                held = []
+            elif done:
+                yield out([[x[:done] for x in new]])
+            held.append([x[done:] for x in new])
+        if held:
+            yield out(held)
+
+    def out(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+        u, v = pairs(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        both = np.unique(np.stack([u, v]), axis=1) if len(u) else np.zeros((2, 0), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in both], names=["u", "v"])
+
+    return run
+
+
+def compare_all(key: np.ndarray, node: np.ndarray, m1: np.ndarray, m2: np.ndarray, component: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (smaller node first) of different components among rows sorted by key and node that the minhashes do not
+    rule out: each with each where whole or in keys of up to MANY rows, else each with the first LEADERS; rows of such
+    larger keys come as pairs with themselves as well."""
+    n = len(key)
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if n else np.zeros(0, int)
+    size = np.diff(np.concatenate([start, [n]]))
+    place, crowd = np.arange(n) - np.repeat(start, size), np.repeat(size > MANY, size)
+    u, v = [], []
 
-    rows = map_batches(nodes.select("node", "low", "high"), make, "key long, node long, low long, high int")
-    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "u long, v long").distinct()
+    def keep(a: np.ndarray, b: np.ndarray) -> None:
+        other = component[a] != component[b]
+        a, b = a[other], b[other]
+        near = np.bitwise_count(m1[a] ^ m1[b]).astype(int) + np.bitwise_count(m2[a] ^ m2[b]) <= MINHASH_FAR
+        u.append(np.minimum(node[a[near]], node[b[near]]))
+        v.append(np.maximum(node[a[near]], node[b[near]]))
+
+    rows = np.flatnonzero(~crowd)
+    for back in range(1, MANY):
+        rows = rows[place[rows] >= back]
+        if not len(rows):
+            break
+        keep(rows - back, rows)
+    if not whole:
+        crowded = np.unique(node[crowd])
+        u.append(crowded)
+        v.append(crowded)
+        rows = np.flatnonzero(crowd)
+        for k in range(LEADERS):
+            rows = rows[place[rows] > k]
+            keep(rows - place[rows] + k, rows)
+        return np.concatenate(u), np.concatenate(v)
+    for s, k in zip(start[size > MANY], size[size > MANY], strict=True):
+        names, of, times = np.unique(component[s : s + k], return_inverse=True, return_counts=True)
+        if len(names) == 1:
+            continue
+        rest = s + np.flatnonzero(of != np.argmax(times))  # pairs within the largest class are known
+        step = max(1, (1 << 20) // int(k))
+        for at in range(0, len(rest), step):
+            a = rest[at : at + step]
+            keep(np.repeat(a, k), np.tile(np.arange(s, s + k), len(a)))
+    return np.concatenate([node[:0], *u]), np.concatenate([node[:0], *v])
+
+
+def sharing(nodes: DataFrame, whole: bool) -> DataFrame:
+    """nodes: node, m1, m2, component, prefix. Distinct pairs u, v that share a shingle of their prefixes, see compare_all."""
+    ship(nodes.sparkSession)
+
+    def make():
+        def of(batch: pa.RecordBatch) -> dict:
+            sets = [np.frombuffer(x, np.uint32) for x in batch.column("prefix").to_pylist()]
+            times = [len(x) for x in sets]
+            return {"key": np.concatenate(sets).view(np.int32)} | {c: np.repeat(batch.column(c).to_numpy(), times) for c in ("node", "m1", "m2", "component")}
+
+        return of
+
+    def pairs(key, node, m1, m2, component) -> tuple[np.ndarray, np.ndarray]:
+        return compare_all(key, node, m1.view(np.uint64), m2.view(np.uint64), component, whole)
+
+    rows = map_batches(nodes.select("node", "m1", "m2", "component", "prefix"), make, "key int, node long, m1 long, m2 long, component long")
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(by_whole_keys(pairs), "u long, v long").distinct()
 
 
 def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -241,27 +357,34 @@ def verified(pairs: DataFrame, docs: DataFrame, least: float, width: int, text:
 
 def classes(docs: DataFrame, least: float = 0.8, width: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, body, component (smallest doc_id of the class) of every row."""
-    rows = cut(sketches(docs, width, text, doc_id))
-    first = [F.first(c).alias(c) for c in ("low", "high", "m1", "m2")]
+    rows = cut(sketches(docs, width, text, doc_id, least, frequent_shingles(docs, width, text)))
+    first = [F.first(c).alias(c) for c in ("low", "high", "m1", "m2", "prefix")]
     nodes = cut(rows.groupBy("body").agg(F.min("doc_id").alias("node"), *first))
-    open_ = cut(nodes.where("node is not null").groupBy("node").agg(*first))
+    known = nodes.where("node is not null")
+    one = cut(known.groupBy("node").agg(*first[:4]))
     repeated = not rows.groupBy("doc_id").count().where("count > 1").isEmpty()
-    links = None
-    while True:
-        pairs = cut(candidates(open_))
-        found = cut(verified(cut(likely(pairs, open_)), docs, least, width, text, doc_id, repeated))
-        if found.isEmpty():
-            break
-        links = found if links is None else cut(links.unionByName(found))
-        merged = cut(connected_components(links))
-        again = pairs.where("u = v").select(F.col("u").alias("node")).join(merged.where("node <> component").select("node"), "node", "left_anti")
-        open_ = cut(open_.join(again, "node", "left_semi"))
-        if open_.isEmpty():
-            break
-    named = nodes.select("body", "node")
-    if links is not None:
-        named = named.join(merged, "node", "left").select("body", F.coalesce("component", "node").alias("node"))
-    return rows.join(named, "body").select("doc_id", "body", F.col("node").alias("component"))
+    links = merged = None
+
+    def link(pairs: DataFrame) -> None:
+        nonlocal links, merged
+        found = cut(verified(pairs, docs, least, width, text, doc_id, repeated))
+        if not found.isEmpty():
+            links = found if links is None else cut(links.unionByName(found))
+            merged = cut(connected_components(links))
+
+    def named(some: DataFrame) -> DataFrame:
+        if links is None:
+            return some.withColumn("component", F.col("node"))
+        return some.join(merged, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+    link(cut(likely(candidates(one), one)))
+    pairs = cut(sharing(named(known), False))
+    link(pairs.where("u <> v"))
+    crowded = pairs.where("u = v").select(F.col("u").alias("node"))
+    if not crowded.isEmpty():
+        link(cut(sharing(named(known.join(crowded, "node", "left_semi")), True)))
+    ids = named(nodes).select("body", F.col("component").alias("_c"))
+    return rows.join(ids, "body").select("doc_id", "body", F.col("_c").alias("component"))
 
 
 def keep_one(docs: DataFrame, least: float = 0.8, width: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -180,6 +180,18 @@ def test_links_do_not_depend_on_the_size_of_the_corpus(make_docs, monkeypatch):
     assert got == plain_similar(dict(enumerate(texts)))
 
 
+def test_near_copies_among_variants_of_one_template(make_docs):
+    """Crowded keys whose members are mostly not similar, each with one near copy that is far off in order of id."""
+    rng = random.Random(9)
+    base = words(398, 60)
+    variants = [edited(base, rng, 20) for _ in range(300)]
+    texts = variants + [edited(t, rng, 2) for t in variants]
+    rng.shuffle(texts)
+    docs = make_docs(list(enumerate(texts)))
+    got = {r.doc_id: r.component for r in similar_texts.classes(docs).collect()}
+    assert got == plain_similar(dict(enumerate(texts)))
+
+
 def test_similar_texts_of_odd_rows(odd_docs):
     rows = similar_texts.classes(odd_docs).collect()
     of = {}

@@ -192,6 +192,18 @@ def test_near_copies_among_variants_of_one_template(make_docs):
     assert got == plain_similar(dict(enumerate(texts)))
 
 
+def test_near_copies_with_an_added_passage(make_docs):
+    """New words in one place change more of the word set than scattered edits that leave as many shingles alike."""
+    rng = random.Random(10)
+    texts = []
+    for k in range(200):
+        w, at = words(rng.randrange(60, 300), 700 + k).split(), rng.choice((0, 30, 60))
+        texts += [" ".join(w), " ".join(w[:at] + words(int(len(w) * rng.choice((0.1, 0.15, 0.18))), 1700 + k).split() + w[at:])]
+    got = {r.doc_id: r.component for r in similar_texts.classes(make_docs(list(enumerate(texts)))).collect()}
+    want = plain_similar(dict(enumerate(texts)))
+    assert got == want and len(set(want.values())) < 300
+
+
 def test_similar_texts_of_odd_rows(odd_docs):
     rows = similar_texts.classes(odd_docs).collect()
     of = {}

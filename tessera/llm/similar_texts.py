@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import IdSet, cut, filter_batches, map_batches, ship
+from ._base import IdSet, cut, filter_batches, map_batches, ship, slices
 from .components import connected_components
 from .simhash_golay import Golay
 
@@ -302,18 +302,21 @@ def sharing(nodes: DataFrame, whole: bool) -> DataFrame:
     """nodes: node, m1, m2, component, prefix. Distinct pairs u, v that share a shingle of their prefixes, see compare_all."""
     ship(nodes.sparkSession)
 
-    def make():
-        def of(batch: pa.RecordBatch) -> dict:
-            sets = [np.frombuffer(x, np.uint32) for x in batch.column("prefix").to_pylist()]
-            times = [len(x) for x in sets]
-            return {"key": np.concatenate(sets).view(np.int32)} | {c: np.repeat(batch.column(c).to_numpy(), times) for c in ("node", "m1", "m2", "component")}
+    def spread(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1 << 18):  # becomes some tenfold
+                sets = [np.frombuffer(x, np.int32) for x in part.column("prefix").to_pylist()]
+                times = [len(x) for x in sets]
+                if sum(times):
+                    rows = [np.concatenate(sets), *(np.repeat(part.column(c).to_numpy(), times) for c in names[1:])]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=names)
 
-        return of
+    names = ["key", "node", "m1", "m2", "component"]
 
     def pairs(key, node, m1, m2, component) -> tuple[np.ndarray, np.ndarray]:
         return compare_all(key, node, m1.view(np.uint64), m2.view(np.uint64), component, whole)
 
-    rows = map_batches(nodes.select("node", "m1", "m2", "component", "prefix"), make, "key int, node long, m1 long, m2 long, component long")
+    rows = nodes.select("node", "m1", "m2", "component", "prefix").mapInArrow(spread, "key int, node long, m1 long, m2 long, component long")
     return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(by_whole_keys(pairs), "u long, v long").distinct()
 
 

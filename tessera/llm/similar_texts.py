@@ -213,10 +213,12 @@ def candidates(nodes: DataFrame, extra: int = 0) -> DataFrame:
 
         def of(batch: pa.RecordBatch) -> dict:
             node, low, high = (batch.column(c).to_numpy() for c in ("node", "low", "high"))
-            parts = [fuzzy_pairs(low[k : k + 2000].view(np.uint64), high[k : k + 2000].view(np.uint64), golay, extra) for k in range(0, len(node), 2000)]
-            own = np.concatenate([x[2] for x in parts])
-            at = np.concatenate([x[0] + 2000 * k for k, x in enumerate(parts)])[own]
-            return {"key": np.concatenate([x[1] for x in parts])[own], "node": node[at], "low": low[at], "high": high[at].astype(np.int32)}
+            parts = []
+            for k in range(0, len(node), 500):
+                at, key, own = fuzzy_pairs(low[k : k + 500].view(np.uint64), high[k : k + 500].view(np.uint64), golay, extra)
+                parts.append((at[own] + k, key[own]))
+            at, key = (np.concatenate(x) for x in zip(*parts, strict=True))
+            return {"key": key, "node": node[at], "low": low[at], "high": high[at].astype(np.int32)}
 
         return of
 
@@ -245,6 +247,7 @@ def by_whole_keys(pairs):
             held.append([x[done:] for x in new])
         if held:
             yield out(held)
+        pa.default_memory_pool().release_unused()
 
     def out(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
         u, v = pairs(*(np.concatenate(x) for x in zip(*parts, strict=True)))
@@ -310,6 +313,7 @@ def sharing(nodes: DataFrame, whole: bool) -> DataFrame:
                 if sum(times):
                     rows = [np.concatenate(sets), *(np.repeat(part.column(c).to_numpy(), times) for c in names[1:])]
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=names)
+        pa.default_memory_pool().release_unused()
 
     names = ["key", "node", "m1", "m2", "component"]
 

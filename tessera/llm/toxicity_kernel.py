@@ -248,7 +248,7 @@ def fit_rows(rows: list[tuple[str, int]], landmarks: int = 256, negatives: int =
     number: dict[str, int] = {}
     bags: dict[int, list[list[np.ndarray]]] = {0: [], 1: []}
     for t, y in rows:
-        sentences = [{bare(u)[:LONGEST] for u in units_of(x)} for x in _SENTENCE.split(t or "")]
+        sentences = [set(_windows([bare(u) for u in units_of(x)])[0]) for x in _SENTENCE.split(t or "")]
         bag = [np.array(sorted(number.setdefault(u, len(number)) for u in x), np.int32) for x in sentences if x]
         if bag:
             bags[y].append(bag)

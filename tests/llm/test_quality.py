@@ -103,6 +103,14 @@ def test_odd_rows_everywhere(odd_docs, spark):
     assert language_centroids.fit(empty) is None and {x.nearest for x in language_centroids.identify(odd_docs, None).collect()} == {"und"}
 
 
+def test_toxic_words_late_in_texts_without_spaces_are_learned():
+    rng = random.Random(4)
+    run = lambda n: "".join(rng.choice("abcdefghkl") for _ in range(n))
+    toxic, clean = ([run(rng.randrange(60, 90)) + middle + run(20) for _ in range(150)] for middle in ("zworstvuq", ""))
+    m = toxicity_kernel.fit_rows([(t, 1) for t in toxic[:120]] + [(t, 0) for t in clean[:120]])
+    assert m is not None and m.unit_scores(toxic[120:]).mean() > m.unit_scores(clean[120:]).max()
+
+
 def test_language_held_out(spark):
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     r = registry.op2_language_id(spark, SF).collect()

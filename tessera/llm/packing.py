@@ -46,7 +46,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, with_ids
 
         def of(batch: pa.RecordBatch) -> dict:
             out = defaultdict(list)
-            for key, ids in zip(batch.column("i").to_pylist(), tool.encode(batch.column("t").to_pylist()), strict=True):
+            for key, ids in zip(batch.column("i").to_pylist(), tool.encode(batch.column("t")), strict=True):
                 ids += end
                 for k, (start, length) in enumerate(cuts(len(ids) // 4, capacity)):
                     own = ids[4 * start : 4 * (start + length)]

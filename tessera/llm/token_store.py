@@ -94,8 +94,8 @@ def train(docs: DataFrame, tokenizer: str, end_id: int, width: int, dict_bytes:
     end = np.array([end_id], "<u4").tobytes()
 
     def make():
-        tool = encoder(tokenizer, 1_000_000)
-        return lambda batch: {"i": batch.column("i"), "raw": [_narrow(x + end, width)[:SAMPLE_BYTES] for x in tool.encode(batch.column("t").to_pylist())]}
+        tool = encoder(tokenizer)
+        return lambda batch: {"i": batch.column("i"), "raw": [_narrow(x + end, width)[:SAMPLE_BYTES] for x in tool.encode(batch.column("t"))]}
 
     rows = sorted((r.i, bytes(r.raw)) for r in map_batches(sample, make, "i long, raw binary", tokenizes=True).groupBy("i").agg(F.min("raw").alias("raw")).collect())
     try:
@@ -122,7 +122,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, dict_byte
         d = zstandard.ZstdCompressionDict(tool.value)
         d.precompute_compress(level=LEVEL)
         press = zstandard.ZstdCompressor(level=LEVEL, dict_data=d).compress
-        enc, part, seq, first, rows, size = encoder(tokenizer, 1_000_000), TaskContext.get().partitionId(), 0, 0, [], 0
+        enc, part, seq, first, rows, size = encoder(tokenizer), TaskContext.get().partitionId(), 0, 0, [], 0
 
         def flush():
             nonlocal seq, first, rows, size
@@ -133,7 +133,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, dict_byte
 
         for batch in batches:
             for b in slices(batch):
-                for key, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text").to_pylist()), strict=True):
+                for key, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text")), strict=True):
                     ids += end
                     rows.append((key, len(ids) // 4, press(_narrow(ids, width))))
                     size += len(rows[-1][2])

@@ -251,6 +251,9 @@ def test_top_k_with_ties_nulls_and_repeats(spark):
 def test_cached_encoding_equals_the_library(spark, path):
     texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(150).collect()]
     texts += ["", None, "a  b\n\n c \t d", "it's 'LL don't I'VE 123 __ a_b <|endoftext|>x", "naïve × ª ² Ⅷ", "日本語  end", "é x", "\x1c\x85 y", "   ", "İ ẞ", "a\x00b"]
+    texts += ["\n", "a\n b", "a\n\n b", "a\n\n\nb", "\n\nb", "a \n b", "a.\nB,\n\nC.", "a\n\n", "'tis don't. can't, 'S", "\x02a b", "ǰ J̌ ʼn, É. ÉTÉ,", "x\u2003y \u2003z\u00a0 q", "ΟΔΟΣ, x", "\r\n x\r\ny", "a\u200b \u200bb"]
+    rng = random.Random(3)
+    texts += ["".join(rng.choice(["a", "B", "É", " ", " ", "\n", "\t", ".", ",", "'s", "1", "\u0301", "日"]) for _ in range(rng.randrange(14))) for _ in range(5000)]
     of = library(path)
     assert _tokens.Encoder(path).encode(texts) == [np.array(of(t), "<u4").tobytes() for t in texts]
 

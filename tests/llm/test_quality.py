@@ -4,9 +4,11 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import compression_quality, language_centroids, perplexity_rules, registry, toxicity_kernel
 from tests.llm.conftest import words
@@ -37,42 +39,92 @@ def test_base_statistics_of_every_document(spark):
         assert not (r.base_failed and r.kept)
 
 
-def test_kneser_ney_is_a_distribution_and_matches_the_formula():
-    """After any context, the probabilities of the bytes seen in the language and the unseen rest add up to one."""
-    texts = [words(400, k).encode().split() for k in range(3)]
-    all_words = [w for t in texts for w in t]
-    of, grams = perplexity_rules._positions(all_words, 3)
-    counts = {n: np.unique(g[g >= 0], return_counts=True) for n, g in enumerate(grams, 1)}
-    model = perplexity_rules.kneser_ney(counts)
-    alphabet = sorted({b for w in all_words for b in w} | {32})
-
-    def p(context, byte):
-        for n in range(len(context) + 1, 0, -1):
-            c = context[len(context) - n + 1 :]
-            gram = int.from_bytes(bytes([*c, byte]), "big")
-            found, at = perplexity_rules._find(model.keys, perplexity_rules._hash(np.array([gram]), n))
-            if found[0]:
-                return math.exp(model.logp[at[0]]) * math.prod(scale[:])
-            known, at = perplexity_rules._find(model.contexts, perplexity_rules._hash(np.array([gram >> 8]), n - 1))
-            if n > 1 and known[0]:
-                scale.append(math.exp(model.backoff[at[0]]))
-        return math.prod(scale) / 257
-
-    for context in (b"", b"a", b" a", b"ab", b"qq"):
-        total = 0
-        for byte in alphabet:
-            scale = []
-            total += p(context, byte)
-        seen_unigrams = len(alphabet)
-        assert total <= 1.0001 and total > 1 - (257 - seen_unigrams) / 257 - 0.05
-
-
-def test_word_scores_do_not_depend_on_the_batch():
-    some = [w.encode() for w in words(50, 1).split()]
-    _, grams = perplexity_rules._positions(some, 4)
-    model = perplexity_rules.kneser_ney({n: np.unique(g[g >= 0], return_counts=True) for n, g in enumerate(grams, 1)})
-    together = model.word_scores(some)
-    assert np.allclose(together, [model.word_scores([w])[0] for w in some])
+def plain_kneser_ney(texts: list[str], order: int):
+    """p(byte | bytes before it) by the textbook formula, from dictionaries."""
+    full = Counter()
+    for t in texts:
+        stream = b"\n" * (order - 2) + b" " + b" ".join(t.encode().split()) + b" "
+        full.update(stream[k - order + 1 : k + 1] for k in range(order - 1, len(stream)))
+    levels = {order: full}
+    for n in range(order - 1, 0, -1):
+        levels[n] = Counter(g[1:] for g in levels[n + 1])
+    cuts, sums, kinds = {}, {}, {}
+    for n, c in levels.items():
+        n1, n2, n3, n4 = (sum(v == k for v in c.values()) for k in (1, 2, 3, 4))
+        y = n1 / max(n1 + 2 * n2, 1)
+        cuts[n] = [0.0, 0.5, 1.0, 1.5] if not (n1 and n2 and n3 and n4) else [0.0] + [min(max(k - (k + 1) * y * b / a, 0.01), k - 0.01) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+        sums[n], kinds[n] = Counter(), {}
+        for g, v in c.items():
+            sums[n][g[:-1]] += v
+            kinds[n].setdefault(g[:-1], Counter())[min(v, 3)] += 1
+
+    def p(context: bytes, byte: int) -> float:
+        n, below = len(context) + 1, 1 / 257
+        if n > 1:
+            below = p(context[1:], byte)
+        if context not in kinds[n]:
+            return below
+        c = levels[n][context + bytes([byte])]
+        gamma = sum(cuts[n][k] * many for k, many in kinds[n][context].items()) / sums[n][context]
+        return (c - cuts[n][min(c, 3)]) / sums[n][context] + gamma * below
+
+    return p
+
+
+def plain_log_perplexity(p, text: str, order: int) -> float:
+    stream = b"\n" * (order - 2) + b" " + b" ".join(text.encode().split()) + b" "
+    first = order - 1
+    return -sum(math.log(p(stream[k - order + 1 : k], stream[k])) for k in range(first, len(stream))) / (len(stream) - first)
+
+
+def test_kneser_ney_is_a_distribution():
+    p = plain_kneser_ney([words(400, k) for k in range(3)], 4)
+    for context in (b"", b"a", b" a", b"ab ", b"qqq", b"\n\n "):
+        assert math.isclose(sum(p(context, x) for x in range(257 - 1)) + p(context, 0), 1.0, abs_tol=1e-9)
+
+
+@pytest.mark.parametrize("room", [4_000_000, 1])
+def test_perplexity_and_bands_equal_brute_force(make_docs, room):
+    """Every row, at every grouping of the languages: junctions, short words, a byte that only one text has, odd rows."""
+    order, upper = 4, 3.0
+    rows = [(k, words(60 + 7 * (k % 9), k), "en" if k % 3 else "xx") for k in range(60)]
+    rows += [(100, None, "en"), (101, "", "en"), (102, " \n", "zz"), (103, words(30, 3), None), (104, "a b " * 12, "en"), (105, "Ω " + words(40, 9).upper(), "en"), (106, "9 8 7 6 5 4 3 2 1 0 " * 3, "xx"), (None, words(50, 2), "en"), (3, words(67, 3), "xx"), (107, "short", "en")]
+    rows += [(200 + k, words(25, 50 + k), None) for k in range(4)]
+    docs = make_docs([(i, t, lang, "s", 0) for i, t, lang in rows])
+    got = sorted(((r.doc_id if r.doc_id is not None else -1, r.lang or "", r.perplexity, r.kept, r.base_failed, r.n_words) for r in perplexity_rules.judge(docs, order, 4.0, upper, max_entries=room).collect()), key=lambda x: x[:2])
+    by = {}
+    for _, t, lang in rows:
+        if t and t.split():
+            by.setdefault(lang or "", []).append(t)
+    models = {lang: plain_kneser_ney(ts, order) for lang, ts in by.items()}
+    want = []
+    for i, t, lang in rows:
+        base = plain_base(t)
+        x = plain_log_perplexity(models[lang or ""], t, order) if t and t.split() else None
+        want.append((i if i is not None else -1, lang or "", x, base[0] < 20 or 100 * base[4] > 30 * base[0], len(" ".join(t.split()).encode()) + 1 if x is not None else 0, base[0]))
+    q = lambda xs, f: sorted(xs)[max(0, math.ceil(f * len(xs)) - 1)]
+    want.sort(key=lambda x: x[:2])
+    assert len(got) == len(want)
+    for g, w in zip(got, want, strict=True):
+        assert g[:2] == w[:2] and g[4] == w[3] and g[5] == w[5] and (g[2] is None) == (w[2] is None)
+        if w[2] is None:
+            assert not g[3]
+            continue
+        assert math.isclose(math.log(g[2]), w[2], abs_tol=1e-5)
+        of = [x for x in want if x[1] == w[1] and x[2] is not None and not x[3]]
+        m, s = q([x[2] for x in of], 0.5), max((q([x[2] for x in of], 0.75) - q([x[2] for x in of], 0.25)) / 1.349, 0.005)
+        wide = max(1.0, math.sqrt(q([x[4] for x in of], 0.5) / w[4]))
+        assert g[3] == (not w[3] and m - 4.0 * s * wide - 1e-5 <= w[2] <= m + upper * s * wide + 1e-5)
+    kept = sorted((r.doc_id if r.doc_id is not None else -1, r.lang or "") for r in perplexity_rules.keep(docs, order, 4.0, upper, max_entries=room).collect())
+    assert kept == sorted(g[:2] for g in got if g[3]) and len(kept) < sum(not w[3] for w in want)
+
+
+def test_bands_reject_what_reads_unlike_its_language(spark):
+    """On the labelled documents that pass the base rules, bad ones go far more often than good ones."""
+    r = perplexity_rules.judge(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).where("not base_failed")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    gone = {x.quality: (x.n, x.gone) for x in r.join(labels, "doc_id").groupBy("quality").agg(F.count("*").alias("n"), F.sum((~F.col("kept")).cast("int")).alias("gone")).collect()}
+    assert gone[0][1] / gone[0][0] > 0.1 and gone[1][1] / gone[1][0] < 0.01
 
 
 def test_rules_reject_what_no_language_writes(make_docs):

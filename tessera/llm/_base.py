@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import struct
 import sys
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -51,6 +50,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df written to the shared folder as Parquet and read from there. Unlike a checkpoint it takes its size from its
+    files: estimates that joins multiply end here, which matters where rounds of joins follow each other."""
+    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def drop_encoders() -> None:
     """Frees what tokenizing tasks have left in this Python worker."""
     tokens = sys.modules.get(f"{__package__}._tokens")
@@ -100,25 +107,47 @@ def slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatc
         yield batch.slice(at, step)
 
 
-class IdSet:
-    """A set of ids as a bitmap of their hashes: 2 MB, however many there are. It has every id of the set and, the
-    fuller it gets, some others; what passes is joined exactly afterwards. It spares rows of texts a shuffle."""
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
-    BITS, PART = 24, 32768
 
-    def __init__(self, ids: DataFrame):
-        """ids: one column of longs."""
-        place = F.pmod(F.xxhash64(ids[ids.columns[0]]), F.lit(1 << self.BITS))
-        parts = ids.select(F.floor(place / self.PART).cast("int").alias("part"), (place % self.PART).alias("at")).groupBy("part").agg(F.bitmap_construct_agg("at").alias("bits")).collect()
-        self.bits = np.zeros((1 << self.BITS) // 8, np.uint8)
+def hashed(ids: np.ndarray) -> np.ndarray:
+    """XXH64 of longs with seed 42, as Spark's xxhash64 gives it, unsigned."""
+    turn = lambda x, k: (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+    h = (np.uint64(42 + 8) + _P5) ^ (turn(ids.astype(np.int64).view(np.uint64) * _P2, 31) * _P1)
+    h = turn(h, 27) * _P1 + _P4
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    return h ^ (h >> np.uint64(32))
+
+
+class IdSet:
+    """Ids as a bitmap of their hashes, 16 bits an id or more: it has every id of the set and at most one in sixteen
+    others, which an exact join takes out afterwards. It spares rows of texts a shuffle. made() gives none for more than
+    MOST ids (a bitmap of 32 MB); the caller then joins by id alone."""
+
+    MOST, PART = 1 << 24, 1 << 15
+
+    def __init__(self, bits: np.ndarray):
+        self.bits, self.mask = bits, np.uint64(8 * len(bits) - 1)
+
+    @classmethod
+    def made(cls, ids: DataFrame) -> IdSet | None:
+        """ids: one column of longs, no nulls."""
+        n = ids.count()
+        if n > cls.MOST:
+            return None
+        size = max(cls.PART, 1 << (16 * max(n, 1) - 1).bit_length())
+        place = F.xxhash64(ids[ids.columns[0]]).bitwiseAND(F.lit(size - 1))
+        parts = ids.select(F.floor(place / cls.PART).cast("int").alias("part"), (place % cls.PART).alias("at")).groupBy("part").agg(F.bitmap_construct_agg("at").alias("bits")).collect()
+        bits = np.zeros(size // 8, np.uint8)
         for r in parts:
-            self.bits[r.part * self.PART // 8 : (r.part + 1) * self.PART // 8] = np.frombuffer(bytes(r.bits), np.uint8)
+            bits[r.part * cls.PART // 8 : (r.part + 1) * cls.PART // 8] = np.frombuffer(bytes(r.bits), np.uint8)
+        return cls(bits)
 
     def holds(self, ids: pa.Array) -> np.ndarray:
         """For each id whether it may be in the set; False for null."""
-        known = [i is not None for i in ids.to_pylist()]
-        at = np.array([xxhash.xxh64_intdigest(struct.pack("<q", i or 0), 42) & ((1 << self.BITS) - 1) for i in ids.to_pylist()], np.int64)
-        return ((self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool) & np.array(known, bool) if len(at) else np.zeros(0, bool)
+        at = (hashed(ids.fill_null(0).to_numpy(zero_copy_only=False)) & self.mask).astype(np.int64)
+        return ((self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool) & ids.is_valid().to_numpy(zero_copy_only=False)
 
 
 def fold(doc_id: Column, n: int) -> Column:

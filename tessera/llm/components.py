@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import cut
+from ._base import written as cut
 
 
 def _toward_minimum(both: DataFrame) -> tuple[DataFrame, DataFrame]:

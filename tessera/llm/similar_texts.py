@@ -11,13 +11,21 @@ compared each with each, in crowded keys each row with the first LEADERS and the
 What decides is the second pass, which looks at all pairs that can be similar enough. Two sets of n shingles or fewer
 that are `least` alike share one of their first n - ceil(least n) + 1 shingles in any fixed order (prefix filter). The
 order has shingles that are frequent in a sample last, so that a template or a common passage is in few prefixes. Rows of a
-shingle meet in one task: in keys of up to MANY rows each with each, in larger ones each with the first LEADERS; then
-the members of larger keys once more, each with each, but for pairs that are in one class by now. Of these pairs the
-minhashes rule out what is clearly not similar, the others are verified with the exact shingle sets, and classes are the
-components of what passed. The tests and the README have the measured recall.
-
-Texts equal but for A-Z and white space are one node from the start. Texts without words are equal. Texts with fewer
-words than a shingle have one shingle. Rows with null ids take their text's class and give none their id.
+shingle meet in one task, shingles that the sample says are very frequent in several (a salt); cells of up to MANY rows
+are compared each with each, larger and salted ones each with the first LEADERS. The third pass takes the shingles of
+these crowded cells once more: their rows are dealt into blocks of about BLOCK by class, and all pairs of blocks are
+compared that are not of one class, each pair of blocks in its own group, whatever the shingle's share of the corpus.
+
+Of all these pairs the minhashes rule out what is clearly not similar; the others are verified with the exact shingle
+sets. Pairs that hang together go to one group, so that a set travels once; where what hangs together has more than
+SET_BLOCK shingles, it is dealt into blocks, and each pair of blocks is a group. Within a group, pairs that verified
+links connect already need no look. Classes are the components of what passed. The tests have the measured recall.
+
+Defined cases: texts equal but for A-Z and white space are one node from the start; texts without words (null, empty,
+blank) are equal; texts with fewer words than a shingle have one shingle; rows with null ids take their text's class and
+give none their id; of rows that share an id, keep_one() keeps one where it keeps the id, whichever Spark meets first;
+ties cannot arise, as a class is named by its smallest id; an empty table gives an empty result. Columns of docs may
+have any names.
 """
 
 from __future__ import annotations
@@ -30,7 +38,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import IdSet, cut, filter_batches, map_batches, ship, slices
+from ._base import IdSet, filter_batches, hashed, map_batches, ship, slices
+from ._base import written as cut
 from .components import connected_components
 from .simhash_golay import Golay
 
@@ -42,8 +51,10 @@ PAIRS = [(a, b) for a in range(SEGMENTS) for b in range(a + 1, SEGMENTS)]
 FAR, MINHASH_FAR = 15, 30
 FEW, LEADERS = 6, 2
 #: Rows of a shingle compared each with each at once; texts whose shingles are counted, and how often one occurs there
-#: to count as frequent. They bear on cost alone.
+#: to count as frequent; rows of a cell of a salted shingle, and of a block of the third pass; shingles of a block of
+#: sets. They bear on cost alone.
 MANY, SAMPLE, FREQUENT = 48, 20_000, 8
+CELL, BLOCK, SET_BLOCK = 4096, 1024, 1 << 20
 
 
 def word_set_simhash(words: list[bytes]) -> tuple[int, int]:
@@ -96,8 +107,9 @@ def _words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split() if text else []
 
 
-def frequent_shingles(docs: DataFrame, width: int, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that SAMPLE texts have FREQUENT times or more, sorted, and their counts."""
+def frequent_shingles(docs: DataFrame, width: int, text: str) -> tuple[tuple[np.ndarray, np.ndarray], float]:
+    """Shingles that SAMPLE distinct texts have FREQUENT times or more, sorted, with their counts; and how many rows a row
+    of the sample stands for."""
     n = docs.count()
     part = docs.select(docs[text].alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < F.lit(max(1, int((1 << 20) * min(1.0, SAMPLE / max(n, 1))))))
 
@@ -112,7 +124,7 @@ def frequent_shingles(docs: DataFrame, width: int, text: str) -> tuple[np.ndarra
     rows = map_batches(part, make, "s long, k long").groupBy("s").agg(F.sum("k").alias("k")).where(F.col("k") >= FREQUENT).toArrow()
     s, k = rows.column("s").to_numpy(), rows.column("k").to_numpy()
     order = np.argsort(s)
-    return s[order].astype(np.uint32), k[order].astype(np.uint64)
+    return (s[order].astype(np.uint32), k[order].astype(np.uint64)), max(1.0, n / SAMPLE)
 
 
 def prefix(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
@@ -129,8 +141,8 @@ def prefix(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], least:
 
 
 def sketches(docs: DataFrame, width: int, text: str, doc_id: str, least: float = 0.8, frequent: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint32), np.zeros(0, np.uint64))) -> DataFrame:
-    """doc_id, body (hash of the words), low and high (word-set SimHash), m1 and m2 (minhashes), prefix (the set's first
-    shingles, 4 bytes each) of every row."""
+    """doc_id, body (hash of the words), low and high (word-set SimHash), m1 and m2 (minhashes), size (of the shingle set),
+    prefix (the set's first shingles, 4 bytes each) of every row."""
     ship(docs.sparkSession)
     tool = docs.sparkSession.sparkContext.broadcast(frequent)
 
@@ -138,24 +150,23 @@ def sketches(docs: DataFrame, width: int, text: str, doc_id: str, least: float =
         known = tool.value
 
         def of(batch: pa.RecordBatch) -> dict:
-            out: dict[str, list] = {"body": [], "low": [], "high": [], "m1": [], "m2": [], "prefix": []}
+            out: dict[str, list] = {"body": [], "low": [], "high": [], "m1": [], "m2": [], "size": [], "prefix": []}
             for t in batch.column("t").to_pylist():
                 w = _words(t)
                 low, high = word_set_simhash(w)
                 shingles = shingle_hashes(w, width)
                 m1, m2 = one_bit_minhashes(shingles)
-                for c, x in zip(out, (xxhash.xxh3_64_intdigest(b" ".join(w)), low, high, m1, m2, prefix(shingles, known, least).tobytes()), strict=True):
+                for c, x in zip(out, (xxhash.xxh3_64_intdigest(b" ".join(w)), low, high, m1, m2, len(shingles), prefix(shingles, known, least).tobytes()), strict=True):
                     out[c].append(x)
-            return {"doc_id": batch.column("i"), "high": out["high"], "prefix": out["prefix"]} | {k: np.array(out[k], np.uint64).view(np.int64) for k in ("body", "low", "m1", "m2")}
+            return {"doc_id": batch.column("i"), "high": out["high"], "size": out["size"], "prefix": out["prefix"]} | {k: np.array(out[k], np.uint64).view(np.int64) for k in ("body", "low", "m1", "m2")}
 
         return of
 
-    return map_batches(docs.select(docs[doc_id].cast("long").alias("i"), docs[text].alias("t")), make, "doc_id long, body long, low long, high long, m1 long, m2 long, prefix binary")
+    return map_batches(docs.select(docs[doc_id].cast("long").alias("i"), docs[text].alias("t")), make, "doc_id long, body long, low long, high long, m1 long, m2 long, size long, prefix binary")
 
 
-def fuzzy_pairs(low: np.ndarray, high: np.ndarray, golay: Golay, extra: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(position, key, whether both codes are the nearest) of every key of every fingerprint. extra: exact bits of a
-    further segment in the key."""
+def fuzzy_pairs(low: np.ndarray, high: np.ndarray, golay: Golay) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position, key, whether both codes are the nearest) of every key of every fingerprint."""
     n, keys, nearest = len(low), [], []
     parts = [((low >> np.uint64(23 * s)) & np.uint64(0x7FFFFF)).astype(np.int64) for s in range(2)]
     parts.append((((low >> np.uint64(46)) | (high << np.uint64(18))) & np.uint64(0x7FFFFF)).astype(np.int64))
@@ -173,10 +184,9 @@ def fuzzy_pairs(low: np.ndarray, high: np.ndarray, golay: Golay, extra: int) ->
         both = (keys[a][:, :, None] << 12) | keys[b][:, None, :]
         ok = (keys[a][:, :, None] >= 0) & (keys[b][:, None, :] >= 0)
         at = np.nonzero(ok)[0]
-        more = parts[next(s for s in range(SEGMENTS) if s not in (a, b))] & ((1 << extra) - 1)
         out_at.append(at)
         out_own.append((nearest[a][:, :, None] & nearest[b][:, None, :])[ok])
-        out_key.append((number << 48) | (more[at] << 24) | both[ok])
+        out_key.append((number << 24) | both[ok])
     return np.concatenate(out_at), np.concatenate(out_key), np.concatenate(out_own)
 
 
@@ -204,7 +214,7 @@ def compare(key: np.ndarray, node: np.ndarray, low: np.ndarray, high: np.ndarray
     return np.concatenate(u), np.concatenate(v)
 
 
-def candidates(nodes: DataFrame, extra: int = 0) -> DataFrame:
+def candidates(nodes: DataFrame) -> DataFrame:
     """nodes: node, low, high. Distinct pairs u, v that share the codes nearest to two of their segments."""
     ship(nodes.sparkSession)
 
@@ -215,7 +225,7 @@ def candidates(nodes: DataFrame, extra: int = 0) -> DataFrame:
             node, low, high = (batch.column(c).to_numpy() for c in ("node", "low", "high"))
             parts = []
             for k in range(0, len(node), 500):
-                at, key, own = fuzzy_pairs(low[k : k + 500].view(np.uint64), high[k : k + 500].view(np.uint64), golay, extra)
+                at, key, own = fuzzy_pairs(low[k : k + 500].view(np.uint64), high[k : k + 500].view(np.uint64), golay)
                 parts.append((at[own] + k, key[own]))
             at, key = (np.concatenate(x) for x in zip(*parts, strict=True))
             return {"key": key, "node": node[at], "low": low[at], "high": high[at].astype(np.int32)}
@@ -229,7 +239,7 @@ def candidates(nodes: DataFrame, extra: int = 0) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(by_whole_keys(pairs), "u long, v long").distinct()
 
 
-def by_whole_keys(pairs):
+def by_whole_keys(pairs, names: tuple[str, ...] = ("u", "v")):
     """A function of batches sorted by their first column that hands columns to `pairs` and cuts between keys only."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -250,22 +260,20 @@ def by_whole_keys(pairs):
         pa.default_memory_pool().release_unused()
 
     def out(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
-        u, v = pairs(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-        both = np.unique(np.stack([u, v]), axis=1) if len(u) else np.zeros((2, 0), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in both], names=["u", "v"])
+        found = np.stack(pairs(*(np.concatenate(x) for x in zip(*parts, strict=True))))
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in np.unique(found, axis=1)], names=list(names))
 
     return run
 
 
 def compare_all(key: np.ndarray, node: np.ndarray, m1: np.ndarray, m2: np.ndarray, component: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (smaller node first) of different components among rows sorted by key and node that the minhashes do not
-    rule out: each with each where whole or in keys of up to MANY rows, else each with the first LEADERS; rows of such
-    larger keys come as pairs with themselves as well."""
+    rule out: each with each where whole or in keys of up to MANY rows, else each with the first LEADERS."""
     n = len(key)
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if n else np.zeros(0, int)
     size = np.diff(np.concatenate([start, [n]]))
     place, crowd = np.arange(n) - np.repeat(start, size), np.repeat(size > MANY, size)
-    u, v = [], []
+    u, v = [node[:0]], [node[:0]]
 
     def keep(a: np.ndarray, b: np.ndarray) -> None:
         other = component[a] != component[b]
@@ -281,9 +289,6 @@ def compare_all(key: np.ndarray, node: np.ndarray, m1: np.ndarray, m2: np.ndarra
             break
         keep(rows - back, rows)
     if not whole:
-        crowded = np.unique(node[crowd])
-        u.append(crowded)
-        v.append(crowded)
         rows = np.flatnonzero(crowd)
         for k in range(LEADERS):
             rows = rows[place[rows] > k]
@@ -298,30 +303,70 @@ def compare_all(key: np.ndarray, node: np.ndarray, m1: np.ndarray, m2: np.ndarra
         for at in range(0, len(rest), step):
             a = rest[at : at + step]
             keep(np.repeat(a, k), np.tile(np.arange(s, s + k), len(a)))
-    return np.concatenate([node[:0], *u]), np.concatenate([node[:0], *v])
+    return np.concatenate(u), np.concatenate(v)
 
 
-def sharing(nodes: DataFrame, whole: bool) -> DataFrame:
-    """nodes: node, m1, m2, component, prefix. Distinct pairs u, v that share a shingle of their prefixes, see compare_all."""
+def sharing(nodes: DataFrame, salts: dict[int, int]) -> DataFrame:
+    """nodes: node, m1, m2, component, prefix. Rows u, v, key: pairs u <> v (key -1) that share a shingle of their
+    prefixes, and each row u = v of a crowded shingle `key` that has rows of several components, or is salted. salts:
+    into how many cells a shingle's rows are dealt."""
     ship(nodes.sparkSession)
+    hot = np.array(sorted(salts), np.uint32)
+    cells = np.array([salts[k] for k in sorted(salts)], np.uint64)
+    tool = nodes.sparkSession.sparkContext.broadcast((hot, cells))
+    names = ["key", "node", "m1", "m2", "component"]
 
     def spread(batches) -> Iterator[pa.RecordBatch]:
+        hot, cells = tool.value
         for batch in batches:
             for part in slices(batch, 1 << 18):  # becomes some tenfold
-                sets = [np.frombuffer(x, np.int32) for x in part.column("prefix").to_pylist()]
+                sets = [np.frombuffer(x, np.uint32) for x in part.column("prefix").to_pylist()]
                 times = [len(x) for x in sets]
                 if sum(times):
-                    rows = [np.concatenate(sets), *(np.repeat(part.column(c).to_numpy(), times) for c in names[1:])]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=names)
+                    key = np.concatenate(sets)
+                    rows = [np.repeat(part.column(c).to_numpy(), times) for c in names[1:]]
+                    salt = np.zeros(len(key), np.uint64)
+                    if len(hot):
+                        at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
+                        salt = np.where(hot[at] == key, hashed(rows[0]) % cells[at] + np.uint64(1), salt)
+                    full = (key.astype(np.uint64) << np.uint64(31)) | salt
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (full.view(np.int64), *rows)], names=names)
         pa.default_memory_pool().release_unused()
 
-    names = ["key", "node", "m1", "m2", "component"]
+    def pairs(key, node, m1, m2, component) -> tuple[np.ndarray, ...]:
+        u, v = compare_all(key, node, m1.view(np.uint64), m2.view(np.uint64), component, False)
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.concatenate([start, [len(key)]]))
+        mixed = (size > MANY) & (np.minimum.reduceat(component, start) < np.maximum.reduceat(component, start))
+        crowd = np.repeat(mixed, size) | ((key & 0x7FFFFFFF) > 0)
+        return np.concatenate([u, node[crowd]]), np.concatenate([v, node[crowd]]), np.concatenate([np.full(len(u), -1), key[crowd] >> 31])
+
+    rows = nodes.select("node", "m1", "m2", "component", "prefix").mapInArrow(spread, ", ".join(f"{c} long" for c in names))
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(by_whole_keys(pairs, ["u", "v", "key"]), "u long, v long, key long")
+
+
+def crossing(rows: DataFrame) -> DataFrame:
+    """rows: key, node, m1, m2, component. Distinct pairs u, v of different components that share a key and that the
+    minhashes do not rule out. A key's rows are dealt into blocks of about BLOCK, large components into blocks of their
+    own; two blocks that may have such a pair meet in a group of their own."""
+    ship(rows.sparkSession)
+    sizes = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
+    sizes = sizes.withColumn("own", F.when(F.col("n") > BLOCK, F.col("component")))  # null: shares the key's other blocks
+    parts = cut(sizes.groupBy("key", "own").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("parts"), F.count("*").alias("classes")))
+    several = parts.groupBy("key").agg(F.sum("classes").alias("classes"), F.collect_list(F.struct("own", "parts")).alias("all")).where("classes > 1").drop("classes")  # a struct a large class
+    mine = sizes.where("own is not null").select("key", "component", "own")
+    dealt = rows.join(several, "key").join(mine, ["key", "component"], "left")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node"), F.filter("all", lambda x: x.own.eqNullSafe(F.col("own")))[0].parts))
+    others = F.filter("all", lambda x: F.col("own").isNull() | ~x.own.eqNullSafe(F.col("own")))
+    blocks = F.flatten(F.transform(others, lambda x: F.transform(F.sequence(F.lit(0), x.parts - 1), lambda k: F.struct(x.own.alias("own"), k.cast("long").alias("part")))))
+    dealt = dealt.withColumn("other", F.explode(blocks))
+    a, b = F.xxhash64("key", "own", "part"), F.xxhash64("key", "other.own", "other.part")
+    met = dealt.select(F.xxhash64("key", F.least(a, b), F.greatest(a, b)).alias("group"), "node", "m1", "m2", "component")
 
     def pairs(key, node, m1, m2, component) -> tuple[np.ndarray, np.ndarray]:
-        return compare_all(key, node, m1.view(np.uint64), m2.view(np.uint64), component, whole)
+        return compare_all(key, node, m1.view(np.uint64), m2.view(np.uint64), component, True)
 
-    rows = nodes.select("node", "m1", "m2", "component", "prefix").mapInArrow(spread, "key int, node long, m1 long, m2 long, component long")
-    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(by_whole_keys(pairs), "u long, v long").distinct()
+    return met.repartition("group").sortWithinPartitions("group", "node").mapInArrow(by_whole_keys(pairs), "u long, v long").distinct()
 
 
 def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -332,50 +377,76 @@ def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.where(far <= MINHASH_FAR).select("u", "v")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, least: float, width: int, text: str, doc_id: str, repeated: bool) -> DataFrame:
-    """The pairs of ids whose texts' shingle sets are at least that similar. Texts of other ids are passed over where
-    they are read and none is shuffled. repeated: whether ids may have several rows."""
-    ids = IdSet(pairs.select(F.explode(F.array("u", "v")).alias("i")))
-    tool = docs.sparkSession.sparkContext.broadcast(ids)
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, least: float, width: int, text: str, doc_id: str, repeated: bool) -> DataFrame:
+    """Links u, v among the pairs of ids whose texts' shingle sets are at least that similar: the same components as
+    all such pairs. nodes: node, size. Texts of other ids are passed over where they are read and none is shuffled,
+    unless IdSet has no room. repeated: whether ids may have several rows."""
+    ids = cut(pairs.select(F.explode(F.array("u", "v")).alias("i")).distinct())
+    wanted = IdSet.made(ids)
+    tool = docs.sparkSession.sparkContext.broadcast(wanted)
+    texts = docs.select(docs[doc_id].cast("long").alias("i"), docs[text].alias("t"))
+    if wanted is None:
+        texts = texts.join(ids, "i", "left_semi")
 
     def make():
         wanted = tool.value
 
         def of(batch: pa.RecordBatch) -> dict:
-            part = batch.filter(pa.array(wanted.holds(batch.column("i"))))
+            part = batch.filter(pa.array(wanted.holds(batch.column("i")))) if wanted is not None else batch
             return {"i": part.column("i"), "s": [shingle_hashes(_words(t), width).tobytes() for t in part.column("t").to_pylist()]}
 
         return of
 
-    sets = map_batches(docs.select(docs[doc_id].cast("long").alias("i"), docs[text].alias("t")), make, "i long, s binary")
+    sets = map_batches(texts, make, "i long, s binary")
     sets = cut(sets.distinct() if repeated else sets)
-    left, right = sets.select(F.col("i").alias("u"), F.col("s").alias("a")), sets.select(F.col("i").alias("v"), F.col("s").alias("b"))
-
-    def check():
-        def of(batch: pa.RecordBatch) -> dict:
-            a, b = ([np.frombuffer(x, np.uint32) for x in batch.column(c).to_pylist()] for c in ("a", "b"))
-            ok = np.array([jaccard(x, y) >= least for x, y in zip(a, b, strict=True)], bool)
-            return {c: batch.column(c).to_numpy()[ok] for c in ("u", "v")}
-
-        return of
-
-    # sets are wide: merge joins at every size, never a broadcast
-    return map_batches(pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v"), check, "u long, v long")
+    hanging = connected_components(pairs)
+    sizes = nodes.join(hanging, "node").select("node", "component", "size")
+    parts = sizes.groupBy("component").agg(F.ceil(F.sum("size") / SET_BLOCK).cast("int").alias("parts"))
+    place = cut(sizes.join(parts, "component").select("node", "component", F.pmod(F.xxhash64("node"), F.greatest("parts", F.lit(1))).alias("part")))
+    left = place.select(F.col("node").alias("u"), "component", F.col("part").alias("a"))
+    right = place.select(F.col("node").alias("v"), F.col("part").alias("b"))
+    grouped = cut(pairs.join(left, "u").join(right, "v").select(F.xxhash64("component", F.least("a", "b"), F.greatest("a", "b")).alias("group"), "u", "v"))
+    needed = grouped.select(F.col("group").alias("of"), F.explode(F.array("u", "v")).alias("i")).distinct().join(sets.hint("merge"), "i")
+
+    def check(rows: pa.Table, held: pa.Table) -> pa.Table:
+        found, of = [[], []], {}
+        for i, s in zip(held.column("i").to_pylist(), held.column("s").to_pylist(), strict=True):
+            of.setdefault(i, []).append(np.frombuffer(s, np.uint32))
+        above: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while above.get(x, x) != x:
+                above[x] = x = above.get(above[x], above[x])
+            return x
+
+        for u, v in sorted(zip(rows.column("u").to_pylist(), rows.column("v").to_pylist(), strict=True)):
+            a, b = top(u), top(v)
+            if a != b and any(jaccard(x, y) >= least for x in of[u] for y in of[v]):
+                above[max(a, b)] = min(a, b)
+                found[0].append(u)
+                found[1].append(v)
+        return pa.table([pa.array(x, pa.int64()) for x in found], names=["u", "v"])
+
+    return grouped.groupBy("group").cogroup(needed.groupBy("of")).applyInArrow(check, "u long, v long")
 
 
 def classes(docs: DataFrame, least: float = 0.8, width: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, body, component (smallest doc_id of the class) of every row."""
-    rows = cut(sketches(docs, width, text, doc_id, least, frequent_shingles(docs, width, text)))
-    first = [F.first(c).alias(c) for c in ("low", "high", "m1", "m2", "prefix")]
+    frequent, share = frequent_shingles(docs, width, text)
+    rows = cut(sketches(docs, width, text, doc_id, least, frequent))
+    first = [F.first(c).alias(c) for c in ("low", "high", "m1", "m2", "size", "prefix")]
     nodes = cut(rows.groupBy("body").agg(F.min("doc_id").alias("node"), *first))
     known = nodes.where("node is not null")
-    one = cut(known.groupBy("node").agg(*first[:4]))
+    one = cut(known.groupBy("node").agg(*first[:5]))
     repeated = not rows.groupBy("doc_id").count().where("count > 1").isEmpty()
     links = merged = None
 
     def link(pairs: DataFrame) -> None:
         nonlocal links, merged
-        found = cut(verified(pairs, docs, least, width, text, doc_id, repeated))
+        pairs = cut(pairs)
+        if pairs.isEmpty():
+            return
+        found = cut(verified(pairs, one, docs, least, width, text, doc_id, repeated))
         if not found.isEmpty():
             links = found if links is None else cut(links.unionByName(found))
             merged = cut(connected_components(links))
@@ -385,12 +456,13 @@ def classes(docs: DataFrame, least: float = 0.8, width: int = 5, text: str = "te
             return some.withColumn("component", F.col("node"))
         return some.join(merged, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
-    link(cut(likely(candidates(one), one)))
-    pairs = cut(sharing(named(known), False))
-    link(pairs.where("u <> v"))
-    crowded = pairs.where("u = v").select(F.col("u").alias("node"))
+    link(likely(candidates(one), one))
+    salts = {int(s): int(np.ceil(k * share / CELL)) for s, k in zip(*frequent, strict=True) if k * share > CELL}
+    pairs = cut(sharing(named(known), salts))
+    link(pairs.where("u <> v").select("u", "v").distinct())
+    crowded = pairs.where("u = v").select(F.col("u").alias("node"), "key")
     if not crowded.isEmpty():
-        link(cut(sharing(named(known.join(crowded, "node", "left_semi")), True)))
+        link(crossing(cut(named(crowded.join(known.select("node", "m1", "m2"), "node")))))
     ids = named(nodes).select("body", F.col("component").alias("_c"))
     return rows.join(ids, "body").select("doc_id", "body", F.col("_c").alias("component"))
 
@@ -399,12 +471,16 @@ def keep_one(docs: DataFrame, least: float = 0.8, width: int = 5, text: str = "t
     """The rows of docs, all columns, one of each class: its smallest id's. Rows with a null id stay. Of several rows
     with the kept id, one stays. Rows that stay for sure pass where they are read; only the others meet the ids."""
     rows = cut(classes(docs, least, width, text, doc_id).groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("component").alias("component")).where("doc_id is not null"))
-    gone = rows.where("component <> doc_id or rows > 1")
-    tool = docs.sparkSession.sparkContext.broadcast(IdSet(gone.select("doc_id")))
-    ids = lambda batch: batch.column(doc_id).cast(pa.int64())
-    clear = filter_batches(docs, lambda: lambda batch: ~tool.value.holds(ids(batch)))
-    rest = filter_batches(docs, lambda: lambda batch: tool.value.holds(ids(batch)))
-    rest = rest.join(rows.where("component = doc_id").select(F.col("doc_id").alias("_id")), F.col(doc_id) == F.col("_id"), "left_semi")
+    kept = rows.where("component = doc_id").select("doc_id")
+    gone = IdSet.made(rows.where("component <> doc_id or rows > 1").select("doc_id"))
+    if gone is None:
+        clear, rest = docs.where(docs[doc_id].isNull()), docs
+    else:
+        tool = docs.sparkSession.sparkContext.broadcast(gone)
+        ids = lambda batch: batch.column(doc_id).cast(pa.int64())
+        clear = filter_batches(docs, lambda: lambda batch: ~tool.value.holds(ids(batch)))
+        rest = filter_batches(docs, lambda: lambda batch: tool.value.holds(ids(batch)))
+    rest = rest.join(kept, rest[doc_id] == kept["doc_id"], "left_semi")
     if not rows.where("rows > 1").isEmpty():
         rest = rest.dropDuplicates([doc_id])
     return clear.unionByName(rest)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tessera.llm import _tokens, backoff_scores, components, exact_topk, mixing, packing, registry, similar_texts, simhash_golay, token_store
+from tessera.llm import _base, _tokens, backoff_scores, components, exact_topk, mixing, packing, registry, similar_texts, simhash_golay, token_store
 from tests.llm.conftest import words
 
 SF = "/root/testdata/sf0.01"
@@ -168,16 +168,45 @@ def test_large_groups_of_near_copies_collapse_without_all_pairs(make_docs):
     want = plain_similar(dict(enumerate(texts)))
     assert len(set(want.values())) == 41 and got == want
     nodes = similar_texts.sketches(docs, 5, "text", "doc_id").select(F.col("doc_id").alias("node"), "low", "high")
-    assert similar_texts.candidates(nodes, 0).count() <= 251 * (1 + 12 * similar_texts.LEADERS + 2 * similar_texts.FEW)
+    assert similar_texts.candidates(nodes).count() <= 251 * (1 + 12 * similar_texts.LEADERS + 2 * similar_texts.FEW)
 
 
-def test_links_do_not_depend_on_the_size_of_the_corpus(make_docs, monkeypatch):
-    """As if the corpus were of many doublings over the size from which keys once had further exact bits."""
-    monkeypatch.setattr(similar_texts, "PLAIN_NODES", 1, raising=False)
+@pytest.mark.parametrize("small", [False, True])
+def test_links_do_not_depend_on_the_size_of_the_corpus(make_docs, monkeypatch, small):
+    """small: as if the corpus were large: salted shingles, many blocks of rows and of sets, no room for bitmaps."""
+    if small:
+        for name, value in (("CELL", 32), ("BLOCK", 16), ("SET_BLOCK", 3000)):
+            monkeypatch.setattr(similar_texts, name, value)
+        monkeypatch.setattr(_base.IdSet, "MOST", 0)
     rng = random.Random(8)
-    texts = [t for k in range(60) for base in [words(200, 300 + k)] for t in (base, edited(base, rng, 3))]
-    got = {r.doc_id: r.component for r in similar_texts.classes(make_docs(list(enumerate(texts)))).collect()}
-    assert got == plain_similar(dict(enumerate(texts)))
+    base = words(398, 60)
+    variants = [edited(base, rng, 20) for _ in range(120)]
+    texts = variants + [edited(t, rng, 2) for t in variants] + [edited(base, rng, 3) for _ in range(80)]
+    texts += [t for k in range(40) for text in [words(200, 300 + k)] for t in (text, edited(text, rng, 3))]
+    rng.shuffle(texts)
+    docs = make_docs([*enumerate(texts), (None, texts[5])])
+    got = {(r.doc_id, r.component) for r in similar_texts.classes(docs).collect() if r.doc_id is not None}
+    of = plain_similar(dict(enumerate(texts)))
+    assert got == set(of.items())
+    kept = sorted(r.doc_id for r in similar_texts.keep_one(docs).collect() if r.doc_id is not None)
+    assert kept == sorted(set(of.values()))
+
+
+def test_every_near_copy_of_the_documents_is_found(spark):
+    """Recall of pairs at 0.8 or more, planted near copies of every kind included, against all pairs that share a shingle."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    want = plain_similar({r.doc_id: r.text for r in docs.collect()})
+    got = {r.doc_id: r.component for r in similar_texts.classes(docs).collect()}
+    merged = [i for i in want if want[i] != i]
+    assert sum(got[i] == want[i] for i in merged) >= 0.99 * len(merged) and sum(got[i] != want[i] for i in want if want[i] == i) == 0
+
+
+def test_columns_with_any_names(spark):
+    rows = [(k, words(60, k % 7), k) for k in range(20)]
+    for name in ("_id", "u", "node", "component", "rows", "body"):
+        docs = spark.createDataFrame(rows, f"doc_id long, text string, {name} long")
+        kept = similar_texts.keep_one(docs)
+        assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == list(range(7))
 
 
 def test_near_copies_among_variants_of_one_template(make_docs):
@@ -490,6 +519,7 @@ def test_id_sets_hold_their_ids_and_few_others(spark):
     from tessera.llm._base import IdSet
 
     ids = [0, 1, -1, 7, 1 << 62, -(1 << 63), *range(1000, 3000, 2)]
-    s = IdSet(spark.createDataFrame([(i,) for i in ids] + [(7,)], "i long"))
+    s = IdSet.made(spark.createDataFrame([(i,) for i in ids] + [(7,)], "i long"))
     assert s.holds(pa.array(ids)).all() and not s.holds(pa.array([None], pa.int64())).any()
-    assert s.holds(pa.array(range(1001, 3001, 2))).sum() < 10 and IdSet(spark.range(0)).holds(pa.array([5])).sum() == 0
+    assert IdSet.made(spark.range(IdSet.MOST + 1)) is None
+    assert s.holds(pa.array(range(1001, 3001, 2))).sum() < 100 and IdSet.made(spark.range(0)).holds(pa.array([5])).sum() == 0

@@ -10,8 +10,10 @@ Every query meets every block, so queries are repeated once a block: a block's s
 up to what a task can hold (MOST_BLOCK), to keep the repetition low. Sizes are counted, nothing is broadcast.
 
 Defined cases: null vectors and vectors with a null, NaN or infinite component take no part, and neither do rows with
-a null id; vectors of different lengths meet on the dimensions that both have; rows with the query's id are not its
-candidates; a query id with several rows is answered for the smallest of its vectors; repeated candidates repeat.
+a null id; a component beyond the range of a long is the nearest long, and so is a score, which is computed exactly
+before; vectors of different lengths meet on the dimensions that both have; rows with the query's id are not its
+candidates; a query id with several rows is answered for the smallest of its vectors; repeated candidates repeat; ties
+go to the smaller id; an empty table gives an empty result. Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -31,10 +33,10 @@ MOST_BLOCK = 1 << 17
 
 
 def quantised(vectors: DataFrame, scale: int, vec_id: str, vector: str) -> DataFrame:
-    """vec_id, v (array of int) of the rows that take part."""
+    """vec_id, v (array of long) of the rows that take part."""
     x = F.col("x")
     ok = F.col("vec_id").isNotNull() & x.isNotNull() & ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    return vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("x")).where(ok).select("vec_id", F.transform("x", lambda c: F.floor(c * scale).cast("int")).alias("v"))
+    return vectors.select(vectors[vec_id].cast("long").alias("vec_id"), vectors[vector].cast("array<double>").alias("x")).where(ok).select("vec_id", F.transform("x", lambda c: F.floor(c * scale)).alias("v"))
 
 
 class Postings:
@@ -47,6 +49,7 @@ class Postings:
         dense = np.zeros((wide, len(ids)), np.int64)
         for at, k in enumerate(sort):
             dense[: len(vectors[k]), at] = vectors[k]
+        self.top = float(np.abs(dense.astype(float)).max(initial=0.0))
         self.lists: list[tuple[np.ndarray | None, np.ndarray]] = []
         for row in dense:
             at = np.flatnonzero(row)
@@ -54,13 +57,19 @@ class Postings:
 
     def best(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k best, ties to the smaller id."""
-        scores = np.zeros(len(self.ids), np.int64)
+        #: Python integers where a sum of products might not fit a long
+        fits = float(np.abs(query.astype(float)).max(initial=0.0)) * self.top * max(len(query), 1) < 2.0**62
+        kind = np.int64 if fits else object
+        scores = np.zeros(len(self.ids), kind)
+        query = query.astype(kind)
         for term in np.flatnonzero(query[: len(self.lists)]):
             at, weights = self.lists[term]
             if at is None:
-                scores += query[term] * weights
+                scores += query[term] * weights.astype(kind, copy=False)
             else:
-                scores[at] += query[term] * weights
+                scores[at] += query[term] * weights.astype(kind, copy=False)
+        if not fits:
+            scores = np.clip(scores, -(1 << 63), (1 << 63) - 1).astype(np.int64)
         a, b = np.searchsorted(self.ids, (query_id, query_id + 1))
         pick = np.concatenate([np.arange(a), np.arange(b, len(scores))])
         if len(pick) > k:

@@ -276,6 +276,23 @@ def test_top_k_with_ties_nulls_and_repeats(spark):
     assert exact_topk.top_k(d.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_of_large_components_and_clashing_columns(spark):
+    """Every finite double has a result: longs beyond 32 bits, sums beyond 64, components beyond a long."""
+    rng = random.Random(5)
+    rows = [(k, [rng.uniform(-1, 1) * 10.0 ** rng.choice((0, 9, 15, 17, 40, 300)) for _ in range(3)]) for k in range(60)] + [(61, [1e9, 1e9, 0.0]), (80, [1e9, 1e9, 1e9])]
+    names = "vec_id long, embedding array<double>, v long, x long, block long, asks long, score long, rank long, query_id long"
+    d = spark.createDataFrame([(i, v, 1, 2, 3, 4, 5, 6, 7) for i, v in rows], names)
+    longs = lambda x: max(-(1 << 63), min((1 << 63) - 1, x))
+    ints = [(i, [longs(math.floor(64 * x)) if math.isfinite(64 * x) else longs(int(math.copysign(1 << 64, x))) for x in v]) for i, v in rows]
+    want = []
+    for i, v in ints:
+        if i % 20 == 0:
+            scored = sorted((-longs(sum(a * b for a, b in zip(v, u, strict=True))), j) for j, u in ints if j != i)
+            want += [(i, n, j, -s) for n, (s, j) in enumerate(scored[:20], 1)]
+    got = exact_topk.top_k(d, F.col("vec_id") % 20 == 0, block=16).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
+
+
 @pytest.mark.parametrize("path", [BYTES, WORDS])
 def test_cached_encoding_equals_the_library(spark, path):
     texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(150).collect()]

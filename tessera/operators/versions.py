@@ -86,45 +86,97 @@ def stamped(pending: DataFrame, start_ts: int, commit_ts: int, txn_id: int) -> D
     return pending.withColumns({"__start_ts": F.lit(start_ts).cast("bigint"), "__commit_ts": F.lit(commit_ts).cast("bigint"), "__txn_id": F.lit(txn_id).cast("bigint")})
 
 
-def replayed(pending: DataFrame, versions: DataFrame, key: list[str], start_ts: int, commit_ts: int) -> DataFrame:
-    """One row: writes, and present = how many of them the log holds from just this commit."""
-    same = versions.where((F.col("__start_ts") == start_ts) & (F.col("__commit_ts") == commit_ts)).select(*map(_c, key), "__op", F.lit(1).cast("bigint").alias("__hit"))
-    rows = pending.select(*map(_c, key), "__op").join(same, [*key, "__op"], "left")
-    return rows.agg(F.count("*").alias("writes"), F.coalesce(F.sum("__hit"), F.lit(0)).alias("present"))
+def _against(pending: DataFrame, held: DataFrame, key: list[str], how: str = "inner") -> tuple[DataFrame, Column]:
+    """Pending writes joined by key with rows that are held, and whether such a row is the same write: op and, for a
+    put, every payload column. Of a held row __op is __held, other columns have a prefix __h_."""
+    names = payload(held, key)
+    meta = [c for c in held.columns if c in META]
+    row = [_c(c).alias(f"__h_{c}") for c in names] + [_c(c).alias("__held" if c == "__op" else c) for c in meta]
+    same = (F.col("__held") == F.col("__op")) & ((F.col("__op") != "P") | F.greatest(F.lit(False), *(~_c(c).eqNullSafe(_c(f"__h_{c}")) for c in names)).eqNullSafe(False)) if names else F.col("__held") == F.col("__op")
+    return pending.select(*map(_c, key), *map(_c, names), "__op").join(held.select(*map(_c, key), *row), key, how), same
+
+
+def _many(condition: Column, name: str) -> Column:
+    return F.coalesce(F.sum(F.coalesce(condition, F.lit(False)).cast("bigint")), F.lit(0).cast("bigint")).alias(name)
 
 
-def preflight(pending: DataFrame, versions: DataFrame, intents: DataFrame | None, key: list[str], start_ts: int, txn_id: int) -> None:
-    """Runs the checks of a commit; raises WriteConflict. Changes nothing."""
-    if intents is not None and not foreign_locks(pending, intents, key, txn_id).isEmpty():
-        raise WriteConflict("a key is locked by another transaction")
-    if not conflicts(pending, versions, key, start_ts).isEmpty():
+def replayed(pending: DataFrame, versions: DataFrame, key: list[str], start_ts: int, commit_ts: int) -> DataFrame:
+    """One row: writes, present = how many of them the log holds from just this commit, with the same op and row, and
+    occupied = how many keys hold anything else at this commit timestamp."""
+    rows, same = _against(pending, versions.where(F.col("__commit_ts") == commit_ts), key, "left")
+    same = F.coalesce(same & (F.col("__start_ts") == start_ts), F.lit(False))
+    return rows.agg(F.count("*").alias("writes"), _many(same, "present"), _many(F.col("__held").isNotNull() & ~same, "occupied"))
+
+
+def lock_faults(pending: DataFrame, intents: DataFrame, key: list[str], start_ts: int, txn_id: int) -> DataFrame:
+    """One row: how many pending keys another transaction's intent holds (locked), how many have the transaction's own
+    intent with another op or row (changed), and how many have just this write as an intent (own)."""
+    rows, same = _against(pending, intents, key)
+    mine = (F.col("__txn_id") == txn_id) & (F.col("__start_ts") == start_ts)
+    return rows.agg(_many(~mine, "locked"), _many(mine & ~same, "changed"), _many(mine & same, "own"))
+
+
+def history_faults(pending: DataFrame, versions: DataFrame, key: list[str], start_ts: int, txn_id: int, commit_ts: int | None = None) -> DataFrame:
+    """One row, one look at the log: how many versions conflict with a commit that began at start_ts, how many are at
+    commit_ts or later (stale), and how many the same transaction left at start_ts with another op or row (changed)."""
+    recent = versions.where((F.col("__commit_ts") > start_ts) | (F.col("__start_ts") == start_ts))
+    rows, same = _against(pending, recent, key)
+    rolled = F.col("__held") == "R"
+    newer = ((F.col("__commit_ts") > start_ts) & ~rolled) | ((F.col("__start_ts") == start_ts) & rolled)
+    stale = F.lit(False) if commit_ts is None else F.col("__commit_ts") >= commit_ts
+    changed = (F.col("__start_ts") == start_ts) & (F.col("__txn_id") == txn_id) & ~rolled & ~same
+    return rows.agg(_many(newer, "newer"), _many(stale, "stale"), _many(changed, "changed"))
+
+
+def preflight(pending: DataFrame, versions: DataFrame, intents: DataFrame | None, key: list[str], start_ts: int, txn_id: int, commit_ts: int | None = None) -> None:
+    """Runs the checks of a commit, a look at the intents and one at the log; raises CorruptData where the transaction
+    itself left another write of a key, else WriteConflict. Changes nothing."""
+    if intents is not None:
+        held = lock_faults(pending, intents, key, start_ts, txn_id).first()
+        if held.changed:
+            raise CorruptData("the transaction holds a key with another write")
+        if held.locked:
+            raise WriteConflict("a key is locked by another transaction")
+    found = history_faults(pending, versions, key, start_ts, txn_id, commit_ts).first()
+    if found.changed:
+        raise CorruptData("the transaction wrote a key differently before")
+    if found.newer:
         raise WriteConflict("a key was written after this transaction began")
+    if found.stale:
+        raise WriteConflict("a key has a version at or after the commit timestamp")
 
 
 def apply_commit(versions: DataFrame, pending: DataFrame, key: list[str], start_ts: int, commit_ts: int, txn_id: int, intents: DataFrame | None = None) -> DataFrame:
-    """The log after an atomic commit. A commit that is already there whole changes nothing; in part, it is corrupt."""
+    """The log after an atomic commit. A commit that is already there whole changes nothing; in part, or with another
+    op or row, it is corrupt. released() gives the intents after it."""
     if not 0 < start_ts < commit_ts:
         raise ConstraintViolation("a commit needs 0 < start_ts < commit_ts")
     r = replayed(pending, versions, key, start_ts, commit_ts).first()
+    if r.occupied:
+        raise CorruptData("the log holds another write at the commit timestamp")
     if r.present:
         if r.present != r.writes:
             raise CorruptData("the log holds a part of this commit")
         return versions
-    preflight(pending, versions, intents, key, start_ts, txn_id)
-    if not stale_commit(pending, versions, key, commit_ts).isEmpty():
-        raise WriteConflict("a key has a version at or after the commit timestamp")
+    preflight(pending, versions, intents, key, start_ts, txn_id, commit_ts)
     return versions.unionByName(stamped(pending, start_ts, commit_ts, txn_id).select(*map(_c, versions.columns)))
 
 
+def released(intents: DataFrame, pending: DataFrame, key: list[str], start_ts: int, txn_id: int) -> DataFrame:
+    """Intents without the transaction's own on the keys that it has committed."""
+    own = (F.col("__txn_id") == txn_id) & (F.col("__start_ts") == start_ts)
+    marked = intents.join(pending.select(*map(_c, key), F.lit(True).alias("__done")), key, "left")
+    return marked.where(~(own & F.coalesce("__done", F.lit(False)))).select(*map(_c, intents.columns))
+
+
 # intents: prewrite, commit, roll back
 
 
 def prewrite(intents: DataFrame, versions: DataFrame, pending: DataFrame, key: list[str], start_ts: int, txn_id: int, ttl_ms: int) -> DataFrame:
-    """Intents after the prewrite. The same prewrite again changes nothing."""
+    """Intents after the prewrite. The same prewrite again changes nothing; with another op or row it is corrupt."""
     if ttl_ms <= 0 or start_ts <= 0:
         raise ConstraintViolation("an intent needs a start timestamp and a time to live")
-    own = intents.where((F.col("__txn_id") == txn_id) & (F.col("__start_ts") == start_ts))
-    if pending.join(own, [*key, "__op"], "left_anti").isEmpty():
+    if lock_faults(pending, intents, key, start_ts, txn_id).first().own == pending.count():
         return intents
     preflight(pending, versions, intents, key, start_ts, txn_id)
     new = pending.withColumns({"__start_ts": F.lit(start_ts).cast("bigint"), "__txn_id": F.lit(txn_id).cast("bigint"), "__ttl_ms": F.lit(ttl_ms).cast("bigint")})

@@ -167,7 +167,27 @@ def _(spark, d):
     v = event_versions(spark, d)
     own = v.where("__start_ts = 2001").select("user_id", "event_type", "__op")
     other = spark.createDataFrame([(-1, "x", "P")], own.schema)
-    return versions.replayed(own.unionByName(other), v, KEY, 2001, 2002)
+    return versions.replayed(own.unionByName(other), v, KEY, 2001, 2002).select("writes", "present")
+
+
+@_operator("mvcc_replay_payload", f"WITH {_V} SELECT count(*) AS writes, CAST(0 AS BIGINT) AS present, count(*) AS occupied FROM v WHERE op = 'P' AND s = (SELECT min(s) FROM v WHERE op = 'P' AND s >= 201)")
+def _(spark, d):
+    v = event_versions(spark, d)
+    first = v.where("__op = 'P' AND __start_ts >= 201").agg(F.min("__start_ts")).first()[0]
+    own = v.where((F.col("__start_ts") == first) & (F.col("__op") == "P")).select("user_id", F.lit("another").alias("event_type"), "__op")
+    return versions.replayed(own, v, KEY, first, first + 1)
+
+
+@_operator("intent_op_mismatch", f"WITH {_I} SELECT count(*) FILTER (user_id <> 10) AS locked, count(*) FILTER (user_id = 10) AS changed, CAST(0 AS BIGINT) AS own FROM i")
+def _(spark, d):
+    i = event_intents(spark, d)
+    return versions.lock_faults(i.select("user_id", "event_type", F.lit("D").alias("__op")), i, KEY, 1001, 15)
+
+
+@_operator("mvcc_commit_drops_own_locks", f"WITH {_I} SELECT user_id, s AS __start_ts FROM i WHERE user_id <> 10")
+def _(spark, d):
+    i = event_intents(spark, d)
+    return versions.released(i, i.select("user_id", "event_type", "__op"), KEY, 1001, 15).select("user_id", "__start_ts")
 
 
 @_operator("intent_prewrite", f"WITH {_I}, {_P} SELECT user_id, s AS __start_ts, t AS __txn_id FROM i UNION ALL SELECT user_id + 1000000, 900001, 77 FROM p")

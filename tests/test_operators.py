@@ -61,6 +61,38 @@ def test_commit_is_idempotent_and_partial_commits_are_corrupt(spark):
         versions.apply_commit(once, p, ["k"], 1, 8, 10)
 
 
+def test_a_replay_with_another_write_is_corrupt(spark):
+    v = log(spark, (1, "old", "P", 3, 4, 9), (2, None, "D", 3, 4, 9), (3, None, "P", 3, 4, 9))
+    same = [(1, "old", "P"), (2, "ignored", "D"), (3, None, "P")]
+    make = lambda rows: spark.createDataFrame(rows, "k long, v string, __op string")
+    assert versions.apply_commit(v, make(same), ["k"], 3, 4, 9).count() == 3
+    for k, other in enumerate([(1, "NEW", "P"), (2, "x", "P"), (3, "x", "P")]):
+        with pytest.raises(E.CorruptData):
+            versions.apply_commit(v, make([*same[:k], other, *same[k + 1 :]]), ["k"], 3, 4, 9)
+    with pytest.raises(E.CorruptData):  # another start holds the commit timestamp
+        versions.apply_commit(v, make(same), ["k"], 2, 4, 8)
+    with pytest.raises(E.CorruptData):  # the same transaction, another commit timestamp and row
+        versions.apply_commit(v, make([(1, "NEW", "P")]), ["k"], 3, 6, 9)
+
+
+def test_own_locks_must_agree_and_go_with_the_commit(spark):
+    v = log(spark, (9, "z", "P", 1, 2, 1))
+    intents = "k long, v string, __op string, __start_ts long, __txn_id long, __ttl_ms long"
+    p = spark.createDataFrame([(1, "b", "P"), (2, None, "D")], "k long, v string, __op string")
+    i = versions.prewrite(spark.createDataFrame([(5, "other", "P", 4, 6, 100)], intents), v, p, ["k"], 5, 7, 100)
+    for other in ([(1, "c", "P"), (2, None, "D")], [(1, "b", "P"), (2, "x", "P")], [(1, None, "D"), (2, None, "D")]):
+        changed = spark.createDataFrame(other, p.schema)
+        with pytest.raises(E.CorruptData):
+            versions.prewrite(i, v, changed, ["k"], 5, 7, 100)
+        with pytest.raises(E.CorruptData):
+            versions.apply_commit(v, changed, ["k"], 5, 6, 7, i)
+    with pytest.raises(E.WriteConflict):  # the same transaction id with another start is another lock
+        versions.apply_commit(v, p, ["k"], 3, 6, 7, i)
+    assert versions.apply_commit(v, p, ["k"], 5, 6, 7, i).count() == 3
+    assert [r.k for r in versions.released(i, p, ["k"], 5, 7).collect()] == [5]
+    assert sorted(r.k for r in versions.released(i, p, ["k"], 6, 7).collect()) == [1, 2, 5]
+
+
 def test_intents_from_prewrite_to_commit_and_rollback(spark):
     v = log(spark, (1, "a", "P", 1, 2, 1))
     i = spark.createDataFrame([], "k long, v string, __op string, __start_ts long, __txn_id long, __ttl_ms long")

@@ -17,8 +17,8 @@ these crowded cells once more: their rows are dealt into blocks of about BLOCK b
 compared that are not of one class, each pair of blocks in its own group, whatever the shingle's share of the corpus.
 
 Of all these pairs the minhashes rule out what is clearly not similar; the others are verified with the exact shingle
-sets. Pairs that hang together go to one group, so that a set travels once; where what hangs together has more than
-SET_BLOCK shingles, it is dealt into blocks, and each pair of blocks is a group. Within a group, pairs that verified
+sets. Texts with the same smallest partner are a bunch, dealt into blocks where it has more than SET_BLOCK shingles; each
+pair of blocks with pairs between them is a group, so that the set of a text in a cluster of copies travels about once. Within a group, pairs that verified
 links connect already need no look. Classes are the components of what passed. The tests have the measured recall.
 
 Defined cases: texts equal but for A-Z and white space are one node from the start; texts without words (null, empty,
@@ -399,13 +399,15 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, least: float,
 
     sets = map_batches(texts, make, "i long, s binary")
     sets = cut(sets.distinct() if repeated else sets)
-    hanging = connected_components(pairs)
+    # close to components for groups of copies, and one shuffle: pairs of one such group meet once, others once a pair of groups
+    both = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    hanging = both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("component"))
     sizes = nodes.join(hanging, "node").select("node", "component", "size")
     parts = sizes.groupBy("component").agg(F.ceil(F.sum("size") / SET_BLOCK).cast("int").alias("parts"))
     place = cut(sizes.join(parts, "component").select("node", "component", F.pmod(F.xxhash64("node"), F.greatest("parts", F.lit(1))).alias("part")))
-    left = place.select(F.col("node").alias("u"), "component", F.col("part").alias("a"))
-    right = place.select(F.col("node").alias("v"), F.col("part").alias("b"))
-    grouped = cut(pairs.join(left, "u").join(right, "v").select(F.xxhash64("component", F.least("a", "b"), F.greatest("a", "b")).alias("group"), "u", "v"))
+    left = place.select(F.col("node").alias("u"), F.xxhash64("component", "part").alias("a"))
+    right = place.select(F.col("node").alias("v"), F.xxhash64("component", "part").alias("b"))
+    grouped = cut(pairs.join(left, "u").join(right, "v").select(F.xxhash64(F.least("a", "b"), F.greatest("a", "b")).alias("group"), "u", "v"))
     needed = grouped.select(F.col("group").alias("of"), F.explode(F.array("u", "v")).alias("i")).distinct().join(sets.hint("merge"), "i")
 
     def check(rows: pa.Table, held: pa.Table) -> pa.Table:

@@ -192,15 +192,6 @@ def test_links_do_not_depend_on_the_size_of_the_corpus(make_docs, monkeypatch, s
     assert kept == sorted(set(of.values()))
 
 
-def test_every_near_copy_of_the_documents_is_found(spark):
-    """Recall of pairs at 0.8 or more, planted near copies of every kind included, against all pairs that share a shingle."""
-    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
-    want = plain_similar({r.doc_id: r.text for r in docs.collect()})
-    got = {r.doc_id: r.component for r in similar_texts.classes(docs).collect()}
-    merged = [i for i in want if want[i] != i]
-    assert sum(got[i] == want[i] for i in merged) >= 0.99 * len(merged) and sum(got[i] != want[i] for i in want if want[i] == i) == 0
-
-
 def test_columns_with_any_names(spark):
     rows = [(k, words(60, k % 7), k) for k in range(20)]
     for name in ("_id", "u", "node", "component", "rows", "body"):

@@ -12,14 +12,17 @@ What decides is the second pass, which looks at all pairs that can be similar en
 that are `least` alike share one of their first n - ceil(least n) + 1 shingles in any fixed order (prefix filter). The
 order has shingles that are frequent in a sample last, so that a template or a common passage is in few prefixes. Rows of a
 shingle meet in one task, shingles that the sample says are very frequent in several (a salt); cells of up to MANY rows
-are compared each with each, larger and salted ones each with the first LEADERS. The third pass takes the shingles of
-these crowded cells once more: their rows are dealt into blocks of about BLOCK by class, and all pairs of blocks are
-compared that are not of one class, each pair of blocks in its own group, whatever the shingle's share of the corpus.
-
-Of all these pairs the minhashes rule out what is clearly not similar; the others are verified with the exact shingle
-sets. Texts with the same smallest partner are a bunch, dealt into blocks where it has more than SET_BLOCK shingles; each
-pair of blocks with pairs between them is a group, so that the set of a text in a cluster of copies travels about once. Within a group, pairs that verified
-links connect already need no look. Classes are the components of what passed. The tests have the measured recall.
+are compared each with each, larger and salted ones each with the first LEADERS. Of these pairs the minhashes rule out
+what is clearly not similar; the others are verified with the exact shingle sets. Texts with the same smallest partner are
+a bunch, dealt into blocks where it has more than SET_BLOCK shingles; each pair of blocks with pairs between them is a
+group, so that the set of a text in a cluster of copies travels about once. Within a group, pairs that verified links
+connect already need no look.
+
+The third pass takes the shingles of the crowded cells once more, where pairs would grow with the square of a template's
+copies. There the texts' sets travel instead: crowded shingles with the same smallest text are a bunch, its texts are dealt
+into parts of about SET_PART shingles, and each pair of parts is a group, whose overlaps are counted exactly, without
+minhashes, and which returns no more links than it joins classes. Classes are the components of what passed. The tests
+have the measured recall.
 
 Defined cases: texts equal but for A-Z and white space are one node from the start; texts without words (null, empty,
 blank) are equal; texts with fewer words than a shingle have one shingle; rows with null ids take their text's class and
@@ -51,10 +54,9 @@ PAIRS = [(a, b) for a in range(SEGMENTS) for b in range(a + 1, SEGMENTS)]
 FAR, MINHASH_FAR = 15, 30
 FEW, LEADERS = 6, 2
 #: Rows of a shingle compared each with each at once; texts whose shingles are counted, and how often one occurs there
-#: to count as frequent; rows of a cell of a salted shingle, and of a block of the third pass; shingles of a block of
-#: sets. They bear on cost alone.
+#: to count as frequent; rows of a cell of a salted shingle; shingles of a block of sets, and of a part of the third pass. They bear on cost alone.
 MANY, SAMPLE, FREQUENT = 48, 20_000, 8
-CELL, BLOCK, SET_BLOCK = 4096, 1024, 1 << 20
+CELL, SET_BLOCK, SET_PART = 4096, 1 << 20, 1 << 17
 
 
 def word_set_simhash(words: list[bytes]) -> tuple[int, int]:
@@ -266,9 +268,9 @@ def by_whole_keys(pairs, names: tuple[str, ...] = ("u", "v")):
     return run
 
 
-def compare_all(key: np.ndarray, node: np.ndarray, m1: np.ndarray, m2: np.ndarray, component: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+def compare_all(key: np.ndarray, node: np.ndarray, m1: np.ndarray, m2: np.ndarray, component: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (smaller node first) of different components among rows sorted by key and node that the minhashes do not
-    rule out: each with each where whole or in keys of up to MANY rows, else each with the first LEADERS."""
+    rule out: each with each in keys of up to MANY rows, else each with the first LEADERS."""
     n = len(key)
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if n else np.zeros(0, int)
     size = np.diff(np.concatenate([start, [n]]))
@@ -288,21 +290,10 @@ def compare_all(key: np.ndarray, node: np.ndarray, m1: np.ndarray, m2: np.ndarra
         if not len(rows):
             break
         keep(rows - back, rows)
-    if not whole:
-        rows = np.flatnonzero(crowd)
-        for k in range(LEADERS):
-            rows = rows[place[rows] > k]
-            keep(rows - place[rows] + k, rows)
-        return np.concatenate(u), np.concatenate(v)
-    for s, k in zip(start[size > MANY], size[size > MANY], strict=True):
-        names, of, times = np.unique(component[s : s + k], return_inverse=True, return_counts=True)
-        if len(names) == 1:
-            continue
-        rest = s + np.flatnonzero(of != np.argmax(times))  # pairs within the largest class are known
-        step = max(1, (1 << 20) // int(k))
-        for at in range(0, len(rest), step):
-            a = rest[at : at + step]
-            keep(np.repeat(a, k), np.tile(np.arange(s, s + k), len(a)))
+    rows = np.flatnonzero(crowd)
+    for k in range(LEADERS):
+        rows = rows[place[rows] > k]
+        keep(rows - place[rows] + k, rows)
     return np.concatenate(u), np.concatenate(v)
 
 
@@ -334,7 +325,7 @@ def sharing(nodes: DataFrame, salts: dict[int, int]) -> DataFrame:
         pa.default_memory_pool().release_unused()
 
     def pairs(key, node, m1, m2, component) -> tuple[np.ndarray, ...]:
-        u, v = compare_all(key, node, m1.view(np.uint64), m2.view(np.uint64), component, False)
+        u, v = compare_all(key, node, m1.view(np.uint64), m2.view(np.uint64), component)
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.concatenate([start, [len(key)]]))
         mixed = (size > MANY) & (np.minimum.reduceat(component, start) < np.maximum.reduceat(component, start))
@@ -345,43 +336,9 @@ def sharing(nodes: DataFrame, salts: dict[int, int]) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(by_whole_keys(pairs, ["u", "v", "key"]), "u long, v long, key long")
 
 
-def crossing(rows: DataFrame) -> DataFrame:
-    """rows: key, node, m1, m2, component. Distinct pairs u, v of different components that share a key and that the
-    minhashes do not rule out. A key's rows are dealt into blocks of about BLOCK, large components into blocks of their
-    own; two blocks that may have such a pair meet in a group of their own."""
-    ship(rows.sparkSession)
-    sizes = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
-    sizes = sizes.withColumn("own", F.when(F.col("n") > BLOCK, F.col("component")))  # null: shares the key's other blocks
-    parts = cut(sizes.groupBy("key", "own").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("parts"), F.count("*").alias("classes")))
-    several = parts.groupBy("key").agg(F.sum("classes").alias("classes"), F.collect_list(F.struct("own", "parts")).alias("all")).where("classes > 1").drop("classes")  # a struct a large class
-    mine = sizes.where("own is not null").select("key", "component", "own")
-    dealt = rows.join(several, "key").join(mine, ["key", "component"], "left")
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node"), F.filter("all", lambda x: x.own.eqNullSafe(F.col("own")))[0].parts))
-    others = F.filter("all", lambda x: F.col("own").isNull() | ~x.own.eqNullSafe(F.col("own")))
-    blocks = F.flatten(F.transform(others, lambda x: F.transform(F.sequence(F.lit(0), x.parts - 1), lambda k: F.struct(x.own.alias("own"), k.cast("long").alias("part")))))
-    dealt = dealt.withColumn("other", F.explode(blocks))
-    a, b = F.xxhash64("key", "own", "part"), F.xxhash64("key", "other.own", "other.part")
-    met = dealt.select(F.xxhash64("key", F.least(a, b), F.greatest(a, b)).alias("group"), "node", "m1", "m2", "component")
-
-    def pairs(key, node, m1, m2, component) -> tuple[np.ndarray, np.ndarray]:
-        return compare_all(key, node, m1.view(np.uint64), m2.view(np.uint64), component, True)
-
-    return met.repartition("group").sortWithinPartitions("group", "node").mapInArrow(by_whole_keys(pairs), "u long, v long").distinct()
-
-
-def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs whose minhashes do not speak against them: narrow joins before texts are looked at."""
-    side = lambda c: nodes.select(F.col("node").alias(c), F.struct("m1", "m2").alias(f"m_{c}"))
-    rows = pairs.where("u <> v").join(side("u"), "u").join(side("v"), "v")
-    far = F.bit_count(F.col("m_u.m1").bitwiseXOR(F.col("m_v.m1"))) + F.bit_count(F.col("m_u.m2").bitwiseXOR(F.col("m_v.m2")))
-    return rows.where(far <= MINHASH_FAR).select("u", "v")
-
-
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, least: float, width: int, text: str, doc_id: str, repeated: bool) -> DataFrame:
-    """Links u, v among the pairs of ids whose texts' shingle sets are at least that similar: the same components as
-    all such pairs. nodes: node, size. Texts of other ids are passed over where they are read and none is shuffled,
-    unless IdSet has no room. repeated: whether ids may have several rows."""
-    ids = cut(pairs.select(F.explode(F.array("u", "v")).alias("i")).distinct())
+def shingle_sets(ids: DataFrame, docs: DataFrame, width: int, text: str, doc_id: str, repeated: bool) -> DataFrame:
+    """i and s (sorted 32-bit hashes, 4 bytes each) of the texts of ids (i). Texts of other ids are passed over where they
+    are read and none is shuffled, unless IdSet has no room. repeated: whether ids may have several rows."""
     wanted = IdSet.made(ids)
     tool = docs.sparkSession.sparkContext.broadcast(wanted)
     texts = docs.select(docs[doc_id].cast("long").alias("i"), docs[text].alias("t"))
@@ -398,7 +355,78 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, least: float,
         return of
 
     sets = map_batches(texts, make, "i long, s binary")
-    sets = cut(sets.distinct() if repeated else sets)
+    return cut(sets.distinct() if repeated else sets)
+
+
+def similar_across(node: np.ndarray, component: np.ndarray, part: np.ndarray, sets: list[np.ndarray], least: float) -> tuple[list[int], list[int]]:
+    """Links between nodes of different components whose sets are at least that similar, as few as make the same
+    components as all such pairs. Of several parts, pairs within one are left out. A set's shingles scatter ones into an
+    array of overlaps with all sets at once, so that the similarities are exact."""
+    n, size = len(node), np.array([len(s) for s in sets], np.int64)
+    _, of, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    posting = np.repeat(np.arange(n), size)[np.argsort(of, kind="stable")]
+    first, begin = np.cumsum(times) - times, np.cumsum(size) - size
+    across = part.min() != part.max()
+    names, at, members = np.unique(component, return_inverse=True, return_counts=True)
+    u, v, above = [], [], np.arange(len(names))
+
+    def top(x: int) -> int:
+        while above[x] != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    for q in np.flatnonzero(at != np.argmax(members)):  # pairs within the largest class are known
+        terms = of[begin[q] : begin[q] + size[q]]
+        terms = terms[times[terms] > 1]
+        length = times[terms]
+        places = np.repeat(first[terms] - (np.cumsum(length) - length), length) + np.arange(length.sum())
+        both = np.bincount(posting[places], minlength=n)
+        near = np.flatnonzero(both)
+        near = near[(at[near] != at[q]) & ((part[near] != part[q]) | (not across))]
+        near = near[both[near] / (size[q] + size[near] - both[near]) >= least]
+        for x in near[np.unique(at[near], return_index=True)[1]]:
+            a, b = top(at[q]), top(at[x])
+            if a != b:
+                above[max(a, b)] = min(a, b)
+                u.append(int(node[q]))
+                v.append(int(node[x]))
+    return u, v
+
+
+def crossing(rows: DataFrame, docs: DataFrame, least: float, width: int, text: str, doc_id: str, repeated: bool) -> DataFrame:
+    """rows: key, node, component, size. Links u, v of different components that share a key and whose texts' shingle
+    sets are at least that similar: the same components as all such pairs. Keys with the same smallest node are a bunch, as the shingles of a
+    template or of a passage mostly are; its texts are dealt into parts of about SET_PART shingles, and each pair of parts
+    meets in a group of its own, to which the sets travel. No row is made for a pair but for those linked."""
+    bunches = rows.groupBy("key").agg(F.min("node").alias("bunch"))
+    met = cut(rows.join(bunches, "key").select("bunch", "node", "component", "size").distinct())
+    parts = met.groupBy("bunch").agg(F.greatest(F.ceil(F.sum("size") / SET_PART), F.lit(1)).cast("int").alias("parts"), F.min("component").alias("a"), F.max("component").alias("b"))
+    dealt = met.join(parts.where("a <> b").select("bunch", "parts"), "bunch").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = cut(dealt.select(F.xxhash64("bunch", F.least("part", "other"), F.greatest("part", "other")).alias("group"), F.col("node").alias("i"), "component", "part"))
+    sets = shingle_sets(dealt.select("i").distinct(), docs, width, text, doc_id, repeated)
+
+    def check(rows: pa.Table) -> pa.Table:
+        node, component, part = (rows.column(c).to_numpy() for c in ("i", "component", "part"))
+        found = similar_across(node, component, part, [np.frombuffer(x, np.uint32) for x in rows.column("s").to_pylist()], least)
+        return pa.table([pa.array(x, pa.int64()) for x in found], names=["u", "v"])
+
+    return dealt.join(sets.hint("merge"), "i").select("group", "i", "component", "part", "s").groupBy("group").applyInArrow(check, "u long, v long")
+
+
+def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs whose minhashes do not speak against them: narrow joins before texts are looked at."""
+    side = lambda c: nodes.select(F.col("node").alias(c), F.struct("m1", "m2").alias(f"m_{c}"))
+    rows = pairs.where("u <> v").join(side("u"), "u").join(side("v"), "v")
+    far = F.bit_count(F.col("m_u.m1").bitwiseXOR(F.col("m_v.m1"))) + F.bit_count(F.col("m_u.m2").bitwiseXOR(F.col("m_v.m2")))
+    return rows.where(far <= MINHASH_FAR).select("u", "v")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, least: float, width: int, text: str, doc_id: str, repeated: bool) -> DataFrame:
+    """Links u, v among the pairs of ids whose texts' shingle sets are at least that similar: the same components as
+    all such pairs. nodes: node, size. repeated: whether ids may have several rows."""
+    ids = cut(pairs.select(F.explode(F.array("u", "v")).alias("i")).distinct())
+    sets = shingle_sets(ids, docs, width, text, doc_id, repeated)
     # close to components for groups of copies, and one shuffle: pairs of one such group meet once, others once a pair of groups
     both = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
     hanging = both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("component"))
@@ -443,28 +471,30 @@ def classes(docs: DataFrame, least: float = 0.8, width: int = 5, text: str = "te
     repeated = not rows.groupBy("doc_id").count().where("count > 1").isEmpty()
     links = merged = None
 
-    def link(pairs: DataFrame) -> None:
+    def link(found: DataFrame) -> None:
         nonlocal links, merged
-        pairs = cut(pairs)
-        if pairs.isEmpty():
-            return
-        found = cut(verified(pairs, one, docs, least, width, text, doc_id, repeated))
+        found = cut(found)
         if not found.isEmpty():
             links = found if links is None else cut(links.unionByName(found))
             merged = cut(connected_components(links))
 
+    def verify(pairs: DataFrame) -> None:
+        pairs = cut(pairs)
+        if not pairs.isEmpty():
+            link(verified(pairs, one, docs, least, width, text, doc_id, repeated))
+
     def named(some: DataFrame) -> DataFrame:
         if links is None:
             return some.withColumn("component", F.col("node"))
         return some.join(merged, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
-    link(likely(candidates(one), one))
+    verify(likely(candidates(one), one))
     salts = {int(s): int(np.ceil(k * share / CELL)) for s, k in zip(*frequent, strict=True) if k * share > CELL}
     pairs = cut(sharing(named(known), salts))
-    link(pairs.where("u <> v").select("u", "v").distinct())
+    verify(pairs.where("u <> v").select("u", "v").distinct())
     crowded = pairs.where("u = v").select(F.col("u").alias("node"), "key")
     if not crowded.isEmpty():
-        link(crossing(cut(named(crowded.join(known.select("node", "m1", "m2"), "node")))))
+        link(crossing(cut(named(crowded.join(known.select("node", "size"), "node"))), docs, least, width, text, doc_id, repeated))
     ids = named(nodes).select("body", F.col("component").alias("_c"))
     return rows.join(ids, "body").select("doc_id", "body", F.col("_c").alias("component"))
 

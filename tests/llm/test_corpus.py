@@ -175,7 +175,7 @@ def test_large_groups_of_near_copies_collapse_without_all_pairs(make_docs):
 def test_links_do_not_depend_on_the_size_of_the_corpus(make_docs, monkeypatch, small):
     """small: as if the corpus were large: salted shingles, many blocks of rows and of sets, no room for bitmaps."""
     if small:
-        for name, value in (("CELL", 32), ("BLOCK", 16), ("SET_BLOCK", 3000)):
+        for name, value in (("CELL", 32), ("SET_BLOCK", 3000), ("SET_PART", 2000)):
             monkeypatch.setattr(similar_texts, name, value)
         monkeypatch.setattr(_base.IdSet, "MOST", 0)
     rng = random.Random(8)
@@ -224,6 +224,26 @@ def test_near_copies_with_an_added_passage(make_docs):
     assert got == want and len(set(want.values())) < 300
 
 
+@pytest.mark.parametrize("parts", [1, 2])
+def test_links_across_classes_join_what_all_pairs_join(parts):
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 1 << 20, 40)
+    sets = [np.unique(np.concatenate([rng.permutation(base)[: rng.integers(30, 41)], rng.integers(0, 1 << 20, rng.integers(0, 6))])).astype(np.uint32) for _ in range(150)]
+    sets += [rng.integers(0, 1 << 20, 5).astype(np.uint32) for _ in range(5)]
+    node, component, part = np.arange(155) * 3, rng.integers(0, 60, 155), np.arange(155) % parts
+    u, v = similar_texts.similar_across(node, component, part, sets, 0.8)
+    pairs = [(a, b) for a in range(155) for b in range(a) if (parts == 1 or part[a] != part[b]) and similar_texts.jaccard(sets[a], sets[b]) >= 0.8]
+    assert len(u) < 60 and {(max(a, b) // 3, min(a, b) // 3) for a, b in zip(u, v, strict=True)} <= set(pairs)
+
+    def joined(links):
+        name = component.copy()
+        for a, b in links:
+            name[name == name[a]] = name[b]
+        return [int(np.flatnonzero(name == x)[0]) for x in name]
+
+    assert joined((a // 3, b // 3) for a, b in zip(u, v, strict=True)) == joined(pairs)
+
+
 def test_similar_texts_of_odd_rows(odd_docs):
     rows = similar_texts.classes(odd_docs).collect()
     of = {}

@@ -425,7 +425,7 @@ def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, least: float, width: int, text: str, doc_id: str, repeated: bool) -> DataFrame:
     """Links u, v among the pairs of ids whose texts' shingle sets are at least that similar: the same components as
     all such pairs. nodes: node, size. repeated: whether ids may have several rows."""
-    ids = cut(pairs.select(F.explode(F.array("u", "v")).alias("i")).distinct())
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("i")).distinct()
     sets = shingle_sets(ids, docs, width, text, doc_id, repeated)
     # close to components for groups of copies, and one shuffle: pairs of one such group meet once, others once a pair of groups
     both = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -469,14 +469,14 @@ def classes(docs: DataFrame, least: float = 0.8, width: int = 5, text: str = "te
     known = nodes.where("node is not null")
     one = cut(known.groupBy("node").agg(*first[:5]))
     repeated = not rows.groupBy("doc_id").count().where("count > 1").isEmpty()
-    links = merged = None
+    merged = None
 
     def link(found: DataFrame) -> None:
-        nonlocal links, merged
+        nonlocal merged
         found = cut(found)
-        if not found.isEmpty():
-            links = found if links is None else cut(links.unionByName(found))
-            merged = cut(connected_components(links))
+        if not found.isEmpty():  # the classes so far are stars, which need no more rounds
+            known = found if merged is None else found.unionByName(merged.select(F.col("node").alias("u"), F.col("component").alias("v")))
+            merged = cut(connected_components(known))
 
     def verify(pairs: DataFrame) -> None:
         pairs = cut(pairs)
@@ -484,7 +484,7 @@ def classes(docs: DataFrame, least: float = 0.8, width: int = 5, text: str = "te
             link(verified(pairs, one, docs, least, width, text, doc_id, repeated))
 
     def named(some: DataFrame) -> DataFrame:
-        if links is None:
+        if merged is None:
             return some.withColumn("component", F.col("node"))
         return some.join(merged, "node", "left").withColumn("component", F.coalesce("component", "node"))
 

@@ -110,6 +110,25 @@ def test_components_of_chains_and_stars(spark):
     assert all(got[k] == 0 for k in range(41)) and all(got[100 + k] == 100 for k in range(50))
 
 
+@pytest.mark.parametrize("pairs", [[], [(1, 1)], [(None, 3), (4, None)], [(5, 1), (5, 2)], [(2, 9), (1, 9), (9, 3), (3, 9)], "random"])
+def test_components_equal_brute_force(spark, pairs):
+    rng = random.Random(3)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] if pairs == "random" else pairs
+    above = {}
+
+    def top(a):
+        while above.setdefault(a, a) != a:
+            a = above[a]
+        return a
+
+    for u, v in pairs:
+        if u is not None and v is not None and u != v:
+            a, b = top(u), top(v)
+            above[max(a, b)] = min(a, b)
+    rows = components.connected_components(spark.createDataFrame(pairs, "u long, v long")).collect()
+    assert {r.node: r.component for r in rows} == {x: top(x) for x in list(above)} and len(rows) == len(above)
+
+
 def test_near_duplicates_of_odd_rows(odd_docs):
     rows = simhash_golay.near_duplicates(odd_docs).collect()
     of = {}

@@ -32,7 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -45,6 +45,8 @@ ORDER, MAX_ORDER = 4, 5
 START = b"\n"
 #: Spreads below and above the median.
 LOWER, UPPER = 5.0, 6.0
+#: Steps of log perplexity in 1, for the quantiles: a power of two, so that steps are exact.
+STEPS = 1 << 14
 #: Distinct words that a task holds before it passes on what it has counted or forgets its scores.
 MOST_WORDS = 200_000
 
@@ -385,13 +387,24 @@ def statistics(docs: DataFrame, models: dict[str, LanguageModel], text: str = "t
     return map_batches(docs.select(docs[doc_id].alias("i"), docs[text].alias("t"), docs[lang].alias("l")), make, f"doc_id {kind}, lang string, {STATISTICS}")
 
 
+def _quantile(rows: DataFrame, value: Column, shares: list[float]) -> DataFrame:
+    """l and q, for each l the smallest value that at least a share of its rows does not exceed. Counts of values are
+    exact and travel pre-aggregated, so reruns agree; a language's distinct values meet in one task, so their number must
+    not grow with the rows."""
+    counts = rows.groupBy("l", value.alias("x")).count()
+    upto, of = F.sum("count").over(Window.partitionBy("l").orderBy("x")), F.sum("count").over(Window.partitionBy("l"))
+    ranked = counts.select("l", "x", upto.alias("upto"), of.alias("of"))
+    return ranked.groupBy("l").agg(F.array(*(F.min(F.when(F.col("upto") >= F.lit(s) * F.col("of"), F.col("x"))) for s in shares)).alias("q"))
+
+
 def bands(scored: DataFrame, lower: float = LOWER, upper: float = UPPER) -> dict[str, tuple[float, float, float, float]]:
     """language -> (median, spread * lower, spread * upper, median bytes) over the rows that pass the base rules: a row
-    a language reaches the driver."""
-    q = lambda c: F.percentile_approx(c, [0.25, 0.5, 0.75], 2000)
-    passed = scored.where("log_perplexity is not null").where(~_failed())
-    rows = passed.groupBy(F.coalesce("lang", F.lit("")).alias("l")).agg(q("log_perplexity").alias("p"), F.percentile_approx("n_bytes", 0.5).alias("b")).collect()
-    return {r.l: (r.p[1], lower * max((r.p[2] - r.p[0]) / 1.349, 0.005), upper * max((r.p[2] - r.p[0]) / 1.349, 0.005), float(r.b)) for r in rows}
+    a language reaches the driver. Quantiles are of log perplexities in steps of 1 / STEPS."""
+    passed = scored.where("log_perplexity is not null").where(~_failed()).select(F.coalesce("lang", F.lit("")).alias("l"), "log_perplexity", "n_bytes")
+    steps = {r.l: [x / STEPS for x in r.q] for r in _quantile(passed, F.round(F.col("log_perplexity") * STEPS).cast("long"), [0.25, 0.5, 0.75]).collect()}
+    sizes = {r.l: float(r.q[0]) for r in _quantile(passed, F.col("n_bytes"), [0.5]).collect()}
+    spread = {key: max((q[2] - q[0]) / 1.349, 0.005) for key, q in steps.items()}
+    return {key: (q[1], lower * spread[key], upper * spread[key], sizes[key]) for key, q in steps.items()}
 
 
 def _failed() -> Column:

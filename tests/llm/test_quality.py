@@ -119,6 +119,18 @@ def test_perplexity_and_bands_equal_brute_force(make_docs, room):
     assert kept == sorted(g[:2] for g in got if g[3]) and len(kept) < sum(not w[3] for w in want)
 
 
+def test_bands_are_exact_however_rows_are_dealt(spark):
+    rng = random.Random(5)
+    values = [("en" if k % 4 else None, 100, 0, rng.gauss(2, 0.1), rng.randrange(50, 5000)) for k in range(9000)]
+    rows = spark.createDataFrame(values, "lang string, n_words long, n_repeat_words long, log_perplexity double, n_bytes long")
+    found = [perplexity_rules.bands(rows.repartition(n)) for n in (1, 13, 40)]
+    assert found[0] == found[1] == found[2] and perplexity_rules.bands(rows.limit(0)) == {}
+    for lang, (m, _, _, b) in found[0].items():
+        mine = [v for v in values if (v[0] or "") == lang]
+        middle = math.ceil(len(mine) / 2) - 1
+        assert abs(m - sorted(v[3] for v in mine)[middle]) <= 1 / perplexity_rules.STEPS and b == sorted(v[4] for v in mine)[middle]
+
+
 def test_bands_reject_what_reads_unlike_its_language(spark):
     """On the labelled documents that pass the base rules, bad ones go far more often than good ones."""
     r = perplexity_rules.judge(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).where("not base_failed")

@@ -13,15 +13,18 @@ that are `least` alike share one of their first n - ceil(least n) + 1 shingles i
 order has shingles that are frequent in a sample last, so that a template or a common passage is in few prefixes. Rows of a
 shingle meet in one task, shingles that the sample says are very frequent in several (a salt); cells of up to MANY rows
 are compared each with each, larger and salted ones each with the first LEADERS. Of these pairs the minhashes rule out
-what is clearly not similar; the others are verified with the exact shingle sets. Texts with the same smallest partner are
+what is clearly not similar; the others are verified with the exact shingle sets. In cells of up to CROWD rows without
+a salt all pairs are looked at too, by a wider bound: most rows of a shingle that is frequent only because the corpus is
+large are like no other row there, and a few pairs are verified like the rest. Texts with the same smallest partner are
 a bunch, dealt into blocks where it has more than SET_BLOCK shingles; each pair of blocks with pairs between them is a
 group, so that the set of a text in a cluster of copies travels about once. Within a group, pairs that verified links
 connect already need no look.
 
 The third pass takes the shingles of the crowded cells once more, where pairs would grow with the square of a template's
-copies. There the texts' sets travel instead: crowded shingles with the same smallest text are a bunch, its texts are dealt
+copies, with those rows that the wider bound does not rule out beside all others of their cell; of salted and still larger
+cells, with all rows. There the texts' sets travel instead: crowded shingles with the same smallest text are a bunch, its texts are dealt
 into parts of about SET_PART shingles, and each pair of parts is a group, whose overlaps are counted exactly, without
-minhashes, and which returns no more links than it joins classes. Classes are the components of what passed. The tests
+a look at minhashes, and which returns no more links than it joins classes. Classes are the components of what passed. The tests
 have the measured recall.
 
 Defined cases: texts equal but for A-Z and white space are one node from the start; texts without words (null, empty,
@@ -52,10 +55,12 @@ PAIRS = [(a, b) for a in range(SEGMENTS) for b in range(a + 1, SEGMENTS)]
 #: differ: at a similarity of 0.8 some 6 and 13 do after scattered edits, with deviations of 2.4 and 3.4. An added passage
 #: of new words changes more of the 92 bits (some 14) and no more of the minhashes.
 FAR, MINHASH_FAR = 15, 30
+#: Of the 128 minhashes, in crowded cells: at 0.8 more differ in 1 of 500 million pairs, 36 or fewer in 1 of 170 000 at 0.05.
+CROWD_FAR = 36
 FEW, LEADERS = 6, 2
-#: Rows of a shingle compared each with each at once; texts whose shingles are counted, and how often one occurs there
+#: Rows of a shingle compared each with each at once, and rows that are if few of them are close; texts whose shingles are counted, and how often one occurs there
 #: to count as frequent; rows of a cell of a salted shingle; shingles of a block of sets, and of a part of the third pass. They bear on cost alone.
-MANY, SAMPLE, FREQUENT = 48, 20_000, 8
+MANY, CROWD, SAMPLE, FREQUENT = 48, 8192, 20_000, 8
 CELL, SET_BLOCK, SET_PART = 4096, 1 << 20, 1 << 17
 
 
@@ -297,10 +302,35 @@ def compare_all(key: np.ndarray, node: np.ndarray, m1: np.ndarray, m2: np.ndarra
     return np.concatenate(u), np.concatenate(v)
 
 
+def close_rows(m1: np.ndarray, m2: np.ndarray, component: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the rows of a cell: the pairs (places) of different components where CROWD_FAR minhashes or fewer differ, none if
+    they are more than LEADERS a row, and which rows have such a partner. Rows of the largest class meet only the others."""
+    n, most = len(m1), LEADERS * len(m1)
+    _, at, members = np.unique(component, return_inverse=True, return_counts=True)
+    others, seen, few = np.flatnonzero(at != np.argmax(members)), np.zeros(n, bool), True
+    pairs = np.zeros((2, 0), np.int64)
+    step = max(1, (1 << 20) // n)
+    for k in range(0, len(others), step):
+        q = others[k : k + step]
+        near = np.bitwise_count(m1[q, None] ^ m1) + np.bitwise_count(m2[q, None] ^ m2) <= CROWD_FAR
+        near &= at[q, None] != at
+        seen |= near.any(axis=0)
+        seen[q] |= near.any(axis=1)
+        if few:
+            a, b = np.nonzero(near)
+            pairs = np.concatenate([pairs, np.sort([q[a], b], axis=0)], axis=1)
+            if pairs.shape[1] > most:  # a pair of two others comes twice
+                pairs = np.unique(pairs, axis=1)
+                few = pairs.shape[1] <= most
+    pairs = np.unique(pairs, axis=1) if few else pairs[:, :0]
+    return pairs[0], pairs[1], seen
+
+
 def sharing(nodes: DataFrame, salts: dict[int, int]) -> DataFrame:
     """nodes: node, m1, m2, component, prefix. Rows u, v, key: pairs u <> v (key -1) that share a shingle of their
-    prefixes, and each row u = v of a crowded shingle `key` that has rows of several components, or is salted. salts:
-    into how many cells a shingle's rows are dealt."""
+    prefixes, and rows u = v of crowded shingles `key`: each row of one that is salted, or has rows of several components
+    and more than CROWD; of smaller ones with many close pairs each row that has one. salts: into how many cells a
+    shingle's rows are dealt."""
     ship(nodes.sparkSession)
     hot = np.array(sorted(salts), np.uint32)
     cells = np.array([salts[k] for k in sorted(salts)], np.uint64)
@@ -328,8 +358,18 @@ def sharing(nodes: DataFrame, salts: dict[int, int]) -> DataFrame:
         u, v = compare_all(key, node, m1.view(np.uint64), m2.view(np.uint64), component)
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.concatenate([start, [len(key)]]))
-        mixed = (size > MANY) & (np.minimum.reduceat(component, start) < np.maximum.reduceat(component, start))
-        crowd = np.repeat(mixed, size) | ((key & 0x7FFFFFFF) > 0)
+        salted = (key[start] & 0x7FFFFFFF) > 0
+        mixed = (size > MANY) & ~salted & (np.minimum.reduceat(component, start) < np.maximum.reduceat(component, start))
+        crowd, us, vs = np.repeat(salted | (mixed & (size > CROWD)), size), [u], [v]
+        for k in np.flatnonzero(mixed & (size <= CROWD)):
+            cell = slice(start[k], start[k] + size[k])
+            a, b, close = close_rows(m1[cell].view(np.uint64), m2[cell].view(np.uint64), component[cell])
+            if len(a):
+                us.append(node[cell][a])
+                vs.append(node[cell][b])
+            else:
+                crowd[cell] = close
+        u, v = np.concatenate(us), np.concatenate(vs)
         return np.concatenate([u, node[crowd]]), np.concatenate([v, node[crowd]]), np.concatenate([np.full(len(u), -1), key[crowd] >> 31])
 
     rows = nodes.select("node", "m1", "m2", "component", "prefix").mapInArrow(spread, ", ".join(f"{c} long" for c in names))
@@ -397,12 +437,16 @@ def crossing(rows: DataFrame, docs: DataFrame, least: float, width: int, text: s
     """rows: key, node, component, size. Links u, v of different components that share a key and whose texts' shingle
     sets are at least that similar: the same components as all such pairs. Keys with the same smallest node are a bunch, as the shingles of a
     template or of a passage mostly are; its texts are dealt into parts of about SET_PART shingles, and each pair of parts
-    meets in a group of its own, to which the sets travel. No row is made for a pair but for those linked."""
+    meets in a group of its own, to which the sets travel. Texts of a bunch's largest class have parts of their own, which
+    meet the others' parts only: their sets travel once for each of these. No row is made for a pair but for those linked."""
     bunches = rows.groupBy("key").agg(F.min("node").alias("bunch"))
     met = cut(rows.join(bunches, "key").select("bunch", "node", "component", "size").distinct())
-    parts = met.groupBy("bunch").agg(F.greatest(F.ceil(F.sum("size") / SET_PART), F.lit(1)).cast("int").alias("parts"), F.min("component").alias("a"), F.max("component").alias("b"))
-    dealt = met.join(parts.where("a <> b").select("bunch", "parts"), "bunch").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    parts = met.groupBy("bunch", "component").agg(F.sum("size").alias("size")).groupBy("bunch").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.max("size").alias("most"), F.sum("size").alias("all"), F.count("*").alias("classes"))
+    of = lambda size: F.greatest(F.ceil(size / SET_PART), F.lit(1)).cast("int")
+    parts = parts.where("classes > 1").select("bunch", "main", of(F.col("all") - F.col("most")).alias("others"), F.when(F.col("all") > SET_PART, of(F.col("most"))).otherwise(0).alias("own"))
+    inside = (F.col("component") == F.col("main")) & (F.col("own") > 0)
+    dealt = met.join(parts, "bunch").withColumn("part", F.when(inside, F.col("others") + F.pmod(F.xxhash64("node"), F.col("own"))).otherwise(F.pmod(F.xxhash64("node"), F.col("others"))).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(inside, F.col("others")).otherwise(F.col("others") + F.col("own")) - 1)))
     dealt = cut(dealt.select(F.xxhash64("bunch", F.least("part", "other"), F.greatest("part", "other")).alias("group"), F.col("node").alias("i"), "component", "part"))
     sets = shingle_sets(dealt.select("i").distinct(), docs, width, text, doc_id, repeated)
 

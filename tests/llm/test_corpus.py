@@ -211,6 +211,56 @@ def test_links_do_not_depend_on_the_size_of_the_corpus(make_docs, monkeypatch, s
     assert kept == sorted(set(of.values()))
 
 
+def test_unlike_texts_with_a_common_shingle_are_no_crowd(spark, make_docs):
+    """A shingle is in many texts because the corpus is large: only pairs that may be similar go on, no whole cell."""
+    rng = random.Random(12)
+    texts = [words(60, 5000 + k) for k in range(200)]
+    texts += [edited(texts[k], rng, 2) for k in range(3)]
+    nodes = similar_texts.sketches(make_docs(list(enumerate(texts))), 5, "text", "doc_id").select(F.col("doc_id").alias("node"), "m1", "m2", F.col("doc_id").alias("component"), F.lit(bytes(4)).alias("prefix"))
+    got = {(r.u, r.v) for r in similar_texts.sharing(nodes, {}).collect()}
+    assert {(k, 200 + k) for k in range(3)} <= got and len(got) <= 10 and all(u < v for u, v in got)
+    assert {(r.u, r.v) for r in similar_texts.sharing(nodes, {0: 3}).where("u = v").collect()} == {(k, k) for k in range(203)}
+
+
+def test_close_rows_of_a_cell():
+    rng = np.random.default_rng(13)
+    m = rng.integers(0, 1 << 63, (400, 2)).astype(np.uint64)
+    m[300:] = m[0] ^ (np.uint64(1) << rng.integers(0, 64, (100, 2)).astype(np.uint64))
+    m[100] = m[101]
+    lone, one = np.arange(400), np.where(np.arange(400) >= 300, 300, np.arange(400))
+    bits = [int(x) << 64 | int(y) for x, y in m]
+    near = {(i, j) for j in range(400) for i in range(j) if (bits[i] ^ bits[j]).bit_count() <= similar_texts.CROWD_FAR}
+    close = lambda k: similar_texts.close_rows(m[:, 0].copy(), m[:, 1].copy(), k)
+    a, b, seen = close(one)
+    want = {(i, j) for i, j in near if one[i] != one[j]}
+    assert len(want) > 100 and {*zip(a.tolist(), b.tolist(), strict=True)} == want and {*np.flatnonzero(seen)} == {x for p in want for x in p}
+    a, b, seen = close(lone)
+    assert not len(a) and not len(b) and {*np.flatnonzero(seen)} == {x for p in near for x in p}
+    assert not close(np.zeros(400, np.int64))[2].any()
+
+
+def test_sets_of_the_largest_class_travel_once(make_docs, monkeypatch):
+    """Links between a large class and a few texts are found without dealing each text of the class to every part."""
+    rng = random.Random(14)
+    base = words(300, 70)
+    texts = [base, *(edited(base, rng, 2) for _ in range(150))]
+    docs = make_docs(list(enumerate(texts)))
+    component = [0] * 140 + list(range(140, 151))
+    sizes = [len(similar_texts.shingle_hashes(t.encode().split(), 5)) for t in texts]
+    rows = docs.sparkSession.createDataFrame([(7, k, c, n) for k, (c, n) in enumerate(zip(component, sizes, strict=True))], "key long, node long, component long, size long")
+    written, plain = [], similar_texts.cut
+    monkeypatch.setattr(similar_texts, "SET_PART", 4000)
+    monkeypatch.setattr(similar_texts, "cut", lambda df: written.append(plain(df)) or written[-1])
+    links = similar_texts.crossing(rows, docs, 0.8, 5, "text", "doc_id", False).collect()
+    dealt = next(df for df in written if "group" in df.columns)
+    assert dealt.groupBy("i").count().where("i < 140").agg(F.max("count")).first()[0] == 1
+    of = plain_similar(dict(enumerate(texts)))
+    above = {}
+    for r in links:
+        above.setdefault(component[max(r.u, r.v)], set()).add(component[min(r.u, r.v)])
+    assert set(of.values()) == {0} and all(k in above for k in range(140, 151))
+
+
 def test_columns_with_any_names(spark):
     rows = [(k, words(60, k % 7), k) for k in range(20)]
     for name in ("_id", "u", "node", "component", "rows", "body"):

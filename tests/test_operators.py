@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from tessera import errors as E
 from tessera.functions import keys, scalar
 from tessera.operators import commands, versions
-from tessera.queries import QUERIES, SQL
+from tessera.queries import QUERIES, SQL, event_versions, pending_writes
 
 SF = "/root/testdata/sf0.001"
 LOG = "k long, v string, __op string, __start_ts long, __commit_ts long, __txn_id long"
@@ -148,3 +148,16 @@ def test_filters_reach_the_scan(spark):
     assert "PushedFilters: [IsNotNull(o_custkey), IsNotNull(o_orderstatus), LessThan(o_custkey,100), EqualTo(o_orderstatus,O)]" in plan
     assert "o_totalprice" not in plan and "Exchange" not in plan
     assert "LocalTableScan <empty>" in QUERIES["empty_contradiction"](spark, SF)._jdf.queryExecution().optimizedPlan().toString() or "LocalRelation <empty>" in QUERIES["empty_contradiction"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_commit_keeps_its_place_in_a_longer_log(spark, tmp_path):
+    users = {449_998: 7, 449_999: 8, 450_000: 7, 450_001: 8, 600_000: 14, 5_999_999: 3, None: 7}
+    rows = [(e, u, t) for t in ("click", "error", "view", None) for e, u in users.items()] + [(1, None, "click")]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+        wanted = con.sql(SQL["mvcc_apply_commit"]).fetchall()
+    found = QUERIES["mvcc_apply_commit"](spark, str(tmp_path)).select("user_id", "__op", "__start_ts", "__commit_ts", "__txn_id").collect()
+    assert len(found) == len(rows) + 3 and sorted(map(repr, map(tuple, found))) == sorted(map(repr, wanted))
+    with pytest.raises(E.WriteConflict):  # the operator still refuses a commit that the log has overtaken
+        versions.apply_commit(event_versions(spark, str(tmp_path)).where("user_id = 14"), pending_writes(spark, str(tmp_path)), ["user_id"], 900_001, 900_002, 77)
